@@ -25,9 +25,9 @@ def canonical(c: Column | str) -> Column:
 
 
 def complete_scans(scans: DataFrame) -> DataFrame:
-    """(scan_id, store key, seq, next_scan_id, close_ids) of the complete scans.
+    """(scan_id, store, seq, next_scan_id, close_ids) of the complete scans.
 
-    Scans delivered twice count once; equal ``started_at`` go by ``scan_id``.
+    ``store`` stands for the store key: the least of its scan ids. Scans delivered twice count once; equal ``started_at`` go by ``scan_id``.
     The place in time is counted by day slices, so that a source with a third
     of all scans is still spread over many tasks.
     """
@@ -37,19 +37,24 @@ def complete_scans(scans: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("started_at", *STORE, "close_ids")).alias("s"))
         .select("scan_id", *[F.col(f"s.{c}").alias(c) for c in ("started_at", *STORE, "close_ids")])
     )
-    ranked = ranked_within(one, STORE, ["started_at", "scan_id"], F.to_date("started_at"), "seq")
-    after = ranked.select(*STORE, (F.col("seq") - 1).alias("seq"), F.col("scan_id").alias("next_scan_id"))
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*STORE, "seq")]
-    return ranked.alias("a").join(after.alias("b"), on, "left").select(*[f"a.{c}" for c in ("scan_id", *STORE, "seq", "close_ids")], "b.next_scan_id")
+    stores = one.groupBy(*STORE).agg(F.min("scan_id").alias("store"))
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in STORE]
+    keyed = one.alias("a").join(stores.alias("b"), on).select("scan_id", "started_at", "close_ids", "store")
+    ranked = ranked_within(keyed, ["store"], ["started_at", "scan_id"], F.to_date("started_at"), "seq")
+    after = ranked.select("store", (F.col("seq") - 1).alias("seq"), F.col("scan_id").alias("next_scan_id"))
+    return ranked.join(after, ["store", "seq"], "left").select("scan_id", "store", F.col("seq").cast("int").alias("seq"), "next_scan_id", "close_ids")
 
 
 def dumps(stored: DataFrame, scans: DataFrame) -> DataFrame:
-    """One row per complete scan and job: the latest loaded one, ties by content."""
+    """One row per complete scan and job: the latest loaded one, ties by content.
+
+    Digests are only ever compared, so eight bytes stand for each in the shuffles.
+    """
     placed = cut(complete_scans(scans))  # read twice below, and small beside the dumps
     rows = stored.select(
         "scan_id", "job_id", "loaded_at",
         F.coalesce(canonical("status"), F.lit("")).alias("status"),
-        canonical("fingerprint").alias("fp"), canonical("content_fingerprint").alias("cfp"),
+        *[F.when(canonical(c).isNotNull(), F.xxhash64(canonical(c))).alias(a) for c, a in (("fingerprint", "fp"), ("content_fingerprint", "cfp"))],
     ).where("scan_id IS NOT NULL AND job_id IS NOT NULL")
     loaded = rows.join(placed.drop("close_ids"), "scan_id").withColumn(
         "row", F.struct("loaded_at", "status", "fp", "cfp")
@@ -58,13 +63,13 @@ def dumps(stored: DataFrame, scans: DataFrame) -> DataFrame:
     closings = placed.select("*", F.explode("close_ids").alias("job_id")).drop("close_ids").where("job_id IS NOT NULL").withColumns(
         {"row": F.lit(None).cast(loaded.schema["row"].dataType), "closes": F.lit(True)}
     )
-    both = loaded.unionByName(closings).repartition(*STORE, "job_id")
+    both = loaded.unionByName(closings).repartition("store", "job_id")
     return (
-        both.groupBy(*STORE, "job_id", "seq", "scan_id", "next_scan_id")
+        both.groupBy("store", "job_id", "seq", "scan_id", "next_scan_id")
         .agg(F.max("row").alias("row"), F.max("closes").alias("closes"))
         .where("row IS NOT NULL")
         .select(
-            *STORE, "job_id", "seq", "scan_id", "next_scan_id",
+            "store", "job_id", "seq", "scan_id", "next_scan_id",
             F.when(F.col("closes"), F.lit("closed")).otherwise(F.col("row.status")).alias("status"),
             F.col("row.fp").alias("fp"), F.col("row.cfp").alias("cfp"),
         )
@@ -73,13 +78,13 @@ def dumps(stored: DataFrame, scans: DataFrame) -> DataFrame:
 
 def validity_intervals(dump: DataFrame) -> DataFrame:
     """Islands of equal content in adjacent scans, with the scan that follows each."""
-    by_job = Window.partitionBy(*STORE, "job_id").orderBy("seq")
-    content = F.xxhash64(F.coalesce("status", F.lit("")), F.coalesce("fp", F.lit("-")), F.coalesce("cfp", F.lit("-")))
+    by_job = Window.partitionBy("store", "job_id").orderBy("seq")
+    content = F.xxhash64("status", "fp", F.lit(","), "cfp", F.col("cfp").isNull())
     marked = dump.withColumn("content", content)
     starts = (F.lag("seq").over(by_job).isNull()) | (F.lag("seq").over(by_job) != F.col("seq") - 1) | (F.lag("content").over(by_job) != F.col("content"))
     marked = marked.withColumn("starts", starts.cast("int"))
     marked = marked.withColumn("island", F.sum("starts").over(by_job.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*STORE, "job_id", "island").agg(
+    return marked.groupBy("store", "job_id", "island").agg(
         F.min("seq").alias("from_seq"), F.max("seq").alias("to_seq"),
         F.min_by("scan_id", "seq").alias("first_scan_id"), F.max_by("next_scan_id", "seq").alias("next_scan_id"),
         F.first("status").alias("status"), F.first("fp").alias("fp"), F.first("cfp").alias("cfp"),
@@ -94,7 +99,7 @@ def changes(stored: DataFrame, scans: DataFrame) -> DataFrame:
     rows removes every job; an unknown scan's rows and null ids are left out;
     a null status counts as a status of its own. Extra columns are ignored.
     """
-    by_job = Window.partitionBy(*STORE, "job_id").orderBy("from_seq")
+    by_job = Window.partitionBy("store", "job_id").orderBy("from_seq")
     iv = validity_intervals(dumps(stored, scans))
     was = F.struct(F.lag("to_seq").over(by_job).alias("to"), *[F.lag(c).over(by_job).alias(c) for c in ("status", "fp", "cfp")])
     iv = iv.withColumn("was", was).withColumn("after", F.lead("from_seq").over(by_job))
