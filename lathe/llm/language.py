@@ -44,7 +44,7 @@ LEAST_MARGIN = 0.03
 def label_code(label: Column | str) -> Column:
     """ISO 639-1 code that a label names, in any case, region or as name; else null."""
     c = F.col(label) if isinstance(label, str) else label
-    first = F.regexp_extract(F.lower(F.trim(F.regexp_replace(c, r"[\s ]+", " "))), r"^([\p{L}]+)(?:[-_ ].*)?$", 1)
+    first = F.regexp_extract(F.lower(F.trim(F.regexp_replace(c, r"[\s\u00a0]+", " "))), r"^([\p{L}]+)(?:[-_ ].*)?$", 1)
     known = {n: code for code, names in NAMES.items() for n in [code, *names.split()]}
     return F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])[first]
 
@@ -54,9 +54,9 @@ def sentences(text: str) -> list[tuple[str, bool]]:
     import regex
 
     out = []
-    for line in regex.split(r"[\r\n  \x0b\x0c\x85]+", text):
+    for line in regex.split(r"[\r\n\u2028\u2029\x0b\x0c\x85]+", text):
         for s in regex.split(r"(?<=[.!?…]['\"”’»)]*)\s+(?=[^\s])|(?<=[。！？])", line):
-            s = s.strip(" \t •·*-–—﻿​")
+            s = s.strip(" \t\u00a0•·*-–—\ufeff\u200b")
             if s:
                 out.append((s, is_sentence(s)))
     return out
