@@ -57,7 +57,7 @@ PARTS = ["y", "m", "d", "a", "b", "k", "h", "mi", "s", "f", "ap", "z", "r", "e"]
 
 def _alternation() -> tuple[str, str]:
     forms = [f.replace("{n}", f"{i}x").replace("{{", "{").replace("}}", "}") for i, f in enumerate(_FORMS)]
-    whole = r"^[\s ]*(?:" + "|".join(f"(?:{f})" for f in forms) + r")[\s ]*$"
+    whole = r"^[\s\u00a0]*(?:" + "|".join(f"(?:{f})" for f in forms) + r")[\s\u00a0]*$"
     out = "\x01".join("".join(f"${{{p}{i}x}}" for i, f in enumerate(forms) if f"<{p}{i}x>" in f) for p in PARTS)
     return whole, out
 

@@ -21,7 +21,7 @@ STORE = ["store_id", "source_kind", "source_instance"]
 def canonical(c: Column | str) -> Column:
     """Letter case and blanks around a value mean nothing; a blank one is absent."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.nullif(F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")), F.lit(""))
+    return F.nullif(F.lower(F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")), F.lit(""))
 
 
 def complete_scans(scans: DataFrame) -> DataFrame:
