@@ -138,7 +138,7 @@ class Gazetteer:
                     continue
                 for words, d in _combined(repairs[i : i + k]):
                     entries = self.names.get(words)
-                    if entries and (d == 0 or all(len(w) > 3 for w in words)) and (hit is None or d < hit[3]):
+                    if entries and (hit is None or d < hit[3]):
                         hit = (i, i + k, frozenset(entries), d)
                 if hit:
                     break
@@ -160,7 +160,7 @@ class Gazetteer:
             own += w * w
             if match:
                 left.remove(match[0])
-                dot += w * w * (1 - match[1] / max(len(match[0]), 1))
+                dot += w * w * (1 - 0.5 * match[1] / max(len(match[0]), 1))
         full = sum(weight(w) ** 2 for w in name)
         return dot / sqrt(own * full) if own and full else 0.0
 
