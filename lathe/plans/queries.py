@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lathe.operators import instants as op_instants
 from lathe.operators import quantities, snapshots, splitting
-from lathe.plans import core_sql
+from lathe.plans import core_sql, reference
 from lathe.session import table
 
 
@@ -18,5 +18,12 @@ def p5_found(spark, d):
     return op_instants.instants(*[table(spark, d, t) for t in ("greenhouse_jobs", "ashby_jobs", "linkedin_positions", "boards")])
 
 
-QUERIES = {"p3_found": quantities.found, "p3_review": quantities.review, "p4_found": p4_found, "p5_found": p5_found, "p6_found": splitting.found}
-SQL = {"p4_found": core_sql.P4_FOUND}
+QUERIES = {
+    "p3_found": quantities.found,
+    "p3_review": quantities.review,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p6_found": splitting.found,
+    **reference.QUERIES,
+}
+SQL = {"p4_found": core_sql.P4_FOUND, **reference.SQL}
