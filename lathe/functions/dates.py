@@ -54,7 +54,7 @@ def _past_gap(t: Column, z: Column, gap: Column) -> Column:
     after = lambda u: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(u), z)) - u
     at, new = F.unix_micros(t), F.unix_micros(F.from_utc_timestamp(t, z)) - F.unix_micros(t)
     steps = F.sequence(F.lit(0), F.lit(180))
-    minute = F.lit(60_000_000)
+    minute = F.lit(60_000_000).cast("long")
     start = at - (at % minute)
     held = F.filter(steps, lambda i: after(start - i * minute) == new)
     return at - (start - F.array_max(held) * minute)

@@ -193,7 +193,7 @@ def sitemap_urls(c: Column | str) -> Column:
 def disallowed(robots: Column | str) -> Column:
     """array<string>: path beginnings that a robots file closes to all agents; an asterisk at the end means nothing."""
     c = F.col(robots) if isinstance(robots, str) else robots
-    groups = F.regexp_extract_all(F.concat(F.lit("\n"), c), F.lit(r"(?is)\n\s*user-agent:\s*\*\s*((?:\n(?!\s*user-agent:)[^\n]*)*)"), 1)
+    groups = F.regexp_extract_all(F.concat(F.lit("\n"), c), F.lit(r"(?is)\n[ \t]*user-agent:[ \t]*\*[ \t\r]*((?:\n(?!\s*user-agent:)[^\n]*)*)"), 1)
     paths = F.regexp_extract_all(F.array_join(groups, "\n"), F.lit(r"(?im)^\s*disallow:[ \t]*([^\s#]+)"), 1)
     return F.filter(F.transform(paths, lambda p: F.regexp_replace(p, r"\*+$", "")), lambda p: p != "")
 

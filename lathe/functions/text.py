@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lathe.functions.places import fold
+
 SPACES = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
@@ -125,10 +128,6 @@ def changed_fields(pairs: dict[str, tuple[Column, Column]]) -> Column:
 
 def fold_key(c: Column | str) -> Column:
     """Search key without accents; Spark has no Unicode decomposition, so an Arrow function."""
-    import pandas as pd
-
-    from lathe.functions.places import fold
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else fold(x))
@@ -138,8 +137,6 @@ def fold_key(c: Column | str) -> Column:
 
 def words_with_offsets(c: Column | str) -> Column:
     """array<struct<word,start,end>>: words with the signs of technologies (c++, c#, .net, node.js), offsets in code points."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<word:string,start:int,end:int>>")
     def run(s: pd.Series) -> pd.Series:
         import regex
@@ -152,8 +149,6 @@ def words_with_offsets(c: Column | str) -> Column:
 
 def sentence_list(c: Column | str) -> Column:
     """Sentences of a text: line breaks and bullets end one, abbreviations and decimals do not."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
         import regex
