@@ -150,29 +150,38 @@ class Compressors:
         return out
 
 
-def cleaned(pool: dict[str, list[bytes]], rounds: int = 3) -> dict[str, list[bytes]]:
+def cleaned(pool: dict[str, list[bytes]], rounds: int = 4) -> dict[str, list[bytes]]:
     """Move each sample sentence to the language whose trigrams it shares most.
 
     Labels are right more often than wrong, so the trigrams of a language are
-    most frequent under its own label; each round counts them anew from the
-    sentences as they were moved.
+    most frequent under its own label. Each round counts them anew from the
+    sentences as they were moved; repeated sentences vote as often as they
+    occur, and none votes for itself.
     """
-    from collections import Counter
-    from math import log
-
-    everything = [(c, s) for c, p in sorted(pool.items()) for s in p]
-    grams = [[s[i : i + 3] for i in range(len(s) - 2)] for s in (s.decode("utf-8", "ignore") for _, s in everything)]
-    at = [c for c, _ in everything]
+    langs = sorted(pool)
+    texts = [(k, s) for k, c in enumerate(langs) for s in pool[c]]
+    ids: dict[str, int] = {}
+    rows = [[ids.setdefault(s[i : i + 3], len(ids)) for i in range(len(s) - 2)] or [ids.setdefault("", len(ids))] for s in (s.decode("utf-8", "ignore") for _, s in texts)]
+    if not rows:
+        return {}
+    gram = np.concatenate([np.unique(r) for r in map(np.asarray, rows)])
+    times = np.concatenate([np.unique(r, return_counts=True)[1] for r in map(np.asarray, rows)]).astype(np.float64)
+    starts = np.concatenate([[0], np.cumsum([len(set(r)) for r in rows])[:-1]]).astype(np.int64)
+    sizes = np.add.reduceat(times, starts)
+    row = np.repeat(np.arange(len(rows)), np.diff(np.append(starts, len(gram))))
+    at = np.array([k for k, _ in texts])
     for _ in range(rounds):
-        counts = {c: Counter() for c in pool}
-        for c, g in zip(at, grams, strict=True):
-            counts[c].update(g)
-        kinds = len({x for n in counts.values() for x in n}) or 1
-        logs = {c: ({g: log((k + 0.05) / (n.total() + 0.05 * kinds)) for g, k in n.items()}, log(0.05 / (n.total() + 0.05 * kinds))) for c, n in counts.items() if n}
-        at = [max(logs, key=lambda c: sum(logs[c][0].get(x, logs[c][1]) for x in g)) if g else c for c, g in zip(at, grams, strict=True)]
+        counts = np.zeros((len(langs), len(ids)))
+        np.add.at(counts, (at[row], gram), times)
+        totals = counts.sum(axis=1)
+        scores = np.stack([np.add.reduceat(times * np.log(counts[k][gram] + 0.05), starts) - sizes * np.log(totals[k] + 0.05 * len(ids)) for k in range(len(langs))])
+        own = counts[at[row], gram] - times
+        scores[at, np.arange(len(rows))] = np.add.reduceat(times * np.log(own + 0.05), starts) - sizes * np.log(totals[at] - sizes + 0.05 * len(ids))
+        scores[totals == 0] = -np.inf
+        at = scores.argmax(axis=0)
     out: dict[str, list[bytes]] = {}
-    for c, (_, s) in zip(at, everything, strict=True):
-        out.setdefault(c, []).append(s)
+    for k, (_, s) in zip(at.tolist(), texts, strict=True):
+        out.setdefault(langs[k], []).append(s)
     return {c: list(dict.fromkeys(p)) for c, p in out.items()}
 
 
@@ -199,7 +208,7 @@ def fit_dictionaries(documents: DataFrame, rows: int = SAMPLE_ROWS, size: int =
     for r in sorted(taken, key=lambda r: (r.code, r.b)):
         texts.setdefault(r.code, []).extend(x.text for x in r.x)
     texts = {c: t[:rows] for c, t in texts.items() if counts[c] >= LEAST_ROWS}
-    pool = {c: list(dict.fromkeys(plain(s) for t in ts for s, ok in sentences(t) if ok)) for c, ts in texts.items()}
+    pool = {c: [plain(s) for t in ts for s, ok in sentences(t) if ok] for c, ts in texts.items()}
     pool = {c: p for c, p in pool.items() if p}
 
     def joined(parts: list[bytes]) -> bytes:
