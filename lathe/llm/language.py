@@ -10,10 +10,12 @@ follow their neighbours, and passages come out in order of writing.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,14 +51,21 @@ def label_code(label: Column | str) -> Column:
     return F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])[first]
 
 
+_LINES = regex.compile(r"[\r\n\u2028\u2029\x0b\x0c\x85]+").split
+_ENDS = regex.compile(r"(?<=[.!?…]['\"”’»)]*)\s+(?=[^\s])|(?<=[。！？])").split
+_FULL = regex.compile(r"[.!?…。！？]['\"”’»)\]]*$").search
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]").findall
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*").findall
+_DIGITS, _HIDDEN = regex.compile(r"\p{N}+").sub, regex.compile(r"\p{Cf}+").sub
+_AROUND = " \t\u00a0•·*-–—\ufeff\u200b"
+
+
 def sentences(text: str) -> list[tuple[str, bool]]:
     """(sentence, full): pieces in order of writing; ``full`` ones are real sentences."""
-    import regex
-
     out = []
-    for line in regex.split(r"[\r\n\u2028\u2029\x0b\x0c\x85]+", text):
-        for s in regex.split(r"(?<=[.!?…]['\"”’»)]*)\s+(?=[^\s])|(?<=[。！？])", line):
-            s = s.strip(" \t\u00a0•·*-–—\ufeff\u200b")
+    for line in _LINES(text):
+        for s in _ENDS(line):
+            s = s.strip(_AROUND)
             if s:
                 out.append((s, is_sentence(s)))
     return out
@@ -64,29 +73,22 @@ def sentences(text: str) -> list[tuple[str, bool]]:
 
 def is_sentence(s: str) -> bool:
     """Ends like a sentence and has at least four words, or eight signs of a script without blanks."""
-    import regex
-
-    if not regex.search(r"[.!?…。！？]['\"”’»)\]]*$", s):
+    if not _FULL(s):
         return False
-    cjk = len(regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", s))
-    return cjk >= 8 or len(regex.findall(r"\p{L}[\p{L}\p{M}'’-]*", s)) >= 4
+    return len(_WORDS(s)) >= 4 or (not s.isascii() and len(_UNSPACED(s)) >= 8)
 
 
 def plain(s: str) -> bytes:
     """What is compressed: case, digits, runs of blanks and invisible signs are evened out."""
-    import unicodedata
-
-    import regex
-
-    s = regex.sub(r"\p{Cf}+", "", unicodedata.normalize("NFKC", s)).lower()
-    s = regex.sub(r"\s+", " ", regex.sub(r"\p{N}+", "0", s)).strip()
-    return s.encode("utf-8", "ignore")
+    if not s.isascii():
+        s = _HIDDEN("", unicodedata.normalize("NFKC", s))
+    return _DIGITS("0", " ".join(s.lower().split())).encode("utf-8", "ignore")
 
 
 class Compressors:
     """One zstandard compressor per language, each with its raw-content dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 5):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 3):
         import zstandard as z
 
         self.langs = sorted(dictionaries)
@@ -96,16 +98,6 @@ class Compressors:
             d.precompute_compress(level=level)
             self.by.append(z.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def sizes(self, data: bytes) -> np.ndarray:
-        return np.fromiter((len(c.compress(data)) for c in self.by), np.float64, len(self.by))
-
-    def judge(self, sizes: np.ndarray) -> tuple[int, float]:
-        """(best, margin) of compressed sizes."""
-        if len(sizes) == 1:
-            return 0, 1.0
-        order = np.argsort(sizes, kind="stable")
-        return int(order[0]), float(1 - sizes[order[0]] / sizes[order[1]])
-
     def passages(self, text: str | None) -> list[tuple[int, str, float]]:
         """(pos, lang, confidence) of the passages of one language; [] without a sentence of words."""
         if not text or not self.langs:
@@ -114,17 +106,34 @@ class Compressors:
         if not any(full for _, full in parts):
             return []
         # Lines that are no sentences (titles, headings, single words) say nothing about a change.
-        full = [s for s, ok in parts if ok]
-        costs, weights = [], []
-        for s in full:
-            data = plain(s)
-            sizes = self.sizes(data)
-            _, margin = self.judge(sizes)
-            costs.append(sizes - sizes.min() if margin >= LEAST_MARGIN else np.zeros(len(sizes)))
-            weights.append(sizes)
-        if not np.any([c.any() for c in costs]):
-            costs = [w - w.min() for w in weights]  # all rejected: the document as a whole decides
-            costs = [np.sum(costs, axis=0)] + [np.zeros(len(self.langs))] * (len(full) - 1)
+        n = len(self.by)
+        sizes = np.array([[len(c.compress(d)) for c in self.by] for d in (plain(s) for s, ok in parts if ok)], np.float64)
+        best = sizes.argmin(axis=1)
+        if n == 1:
+            path = best.tolist()
+        else:
+            two = np.partition(sizes, 1, axis=1)
+            sure = 1 - two[:, 0] / two[:, 1] >= LEAST_MARGIN
+            if not sure.any():  # all rejected: the text as a whole decides
+                path = [int(sizes.sum(axis=0).argmin())] * len(sizes)
+            elif len(set(best[sure].tolist())) == 1:
+                path = [int(best[sure][0])] * len(sizes)
+            else:
+                path = self._cheapest(np.where(sure[:, None], sizes - two[:, :1], 0.0))
+        out, i = [], 0
+        while i < len(path):
+            j = i
+            while j < len(path) and path[j] == path[i]:
+                j += 1
+            summed = sizes[i:j].sum(axis=0)
+            others = np.delete(summed, path[i])
+            confidence = 1.0 if not len(others) else float(min(1.0, max(0.0, 1 - summed[path[i]] / others.min())))
+            out.append((len(out) + 1, self.langs[path[i]], round(confidence, 4)))
+            i = j
+        return out
+
+    def _cheapest(self, costs: np.ndarray) -> list[int]:
+        """Language of each sentence on the path of fewest bytes, changes included."""
         total, back = costs[0].copy(), []
         for c in costs[1:]:
             k = int(total.argmin())
@@ -136,18 +145,7 @@ class Compressors:
         for b in reversed(back):
             at = int(b[at])
             path.append(at)
-        path.reverse()
-        out, i = [], 0
-        while i < len(path):
-            j = i
-            while j < len(path) and path[j] == path[i]:
-                j += 1
-            summed = np.sum(weights[i:j], axis=0)
-            others = np.delete(summed, path[i])
-            confidence = 1.0 if not len(others) else float(min(1.0, max(0.0, 1 - summed[path[i]] / others.min())))
-            out.append((len(out) + 1, self.langs[path[i]], round(confidence, 4)))
-            i = j
-        return out
+        return path[::-1]
 
 
 def cleaned(pool: dict[str, list[bytes]], rounds: int = 4) -> dict[str, list[bytes]]:
