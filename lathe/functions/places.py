@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 from math import log, sqrt
 
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ _TOKEN = re.compile(r"[^\W_]+", re.UNICODE)
 
 def fold(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).lower()).translate(_LETTERS)
     return "".join(c for c in t if not unicodedata.combining(c))
 
@@ -34,6 +37,13 @@ def tokens(text: str) -> list[str]:
     return [ABBREVIATIONS.get(w, w) for w in _TOKEN.findall(fold(text).replace("&", " and ")) if w not in CONNECTORS]
 
 
+@lru_cache(maxsize=100_000)
+def token(word: str) -> str | None:
+    """The token of one word, or null for a connecting word."""
+    t = tokens(word)
+    return t[0] if t else None
+
+
 def slips_allowed(word: str) -> int:
     """Slips forgiven in a listed word: one from six letters, two from nine."""
     return 2 if len(word) >= 9 else 1 if len(word) >= 6 else 0

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathe.functions.places import ARRANGEMENT, AROUND, CONNECTORS, Gazetteer, fold, gazetteer, tokens
+from lathe.functions.places import ARRANGEMENT, AROUND, Gazetteer, gazetteer, token, tokens
 from lathe.session import cut, table
 
 # Delimiters by kind, in the order in which they are tried at a place.
@@ -37,7 +38,10 @@ DELIMITERS = {
 }
 #: Bits of a sign that nothing explains, of a joint within a value, of a delimiter left inside one, of declaring a delimiter, and of one use of it.
 SIGN_BITS, JOINT_BITS, ODD_BITS, DECLARE_BITS, DELIMITER_BITS = 5.0, 1.0, 8.0, 2.0, 1.0
+#: Kinds of delimiters of one field that are tried in every combination.
+MOST_FREE = 7
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in DELIMITERS.items()), re.IGNORECASE)
+_WORD = re.compile(r"[^\W_]+")
 _BLANK = " \t\r\n\u00a0\u2007\u2009\u202f\u200b\ufeff"
 
 
@@ -46,8 +50,12 @@ class Parser:
 
     def __init__(self, names: Gazetteer):
         self.g = names
+        # What repeats within a field's dialects and over a task's fields is worked out once.
+        self.element = lru_cache(maxsize=50_000)(self._element)
+        self.composed_bits = lru_cache(maxsize=50_000)(self._composed_bits)
+        self.protected = lru_cache(maxsize=5_000)(self._protected)
 
-    def element(self, text: str) -> str:
+    def _element(self, text: str) -> str:
         """What an element after a comma is: place, part (region or country), arrangement, blank or other."""
         toks = tokens(text)
         if not toks:
@@ -60,11 +68,10 @@ class Parser:
             return "other"
         return "part" if not any("place" in k and not k & {"country", "region"} for k in kinds) and "place" not in kinds[0] else "place"
 
-    def protected(self, text: str) -> list[tuple[int, int]]:
+    def _protected(self, text: str) -> list[tuple[int, int]]:
         """Spans inside which no delimiter counts: brackets, placeholders, listed names."""
         spans = [m.span() for m in re.finditer(r"\([^()]*\)|\b[nN]/[aA]\b", text)]
-        words = [(m.start(), m.end(), fold(m[0])) for m in re.finditer(r"[^\W_]+", text)]
-        kept = [(s, e, t) for s, e, w in words if w not in CONNECTORS for t in tokens(w)[:1]]
+        kept = [(m.start(), m.end(), t) for m in _WORD.finditer(text) if (t := token(m[0])) is not None]
         if not kept:
             return spans
         toks = [t for _, _, t in kept]
@@ -90,9 +97,10 @@ class Parser:
         for m in _ANY.finditer(text):
             if m.lastgroup not in kinds and not any(a <= m.start() < b for a, b in spans):
                 kinds.append(m.lastgroup)
-        kinds = kinds[:7]
+        # With more kinds than these, the further ones belong to every dialect.
+        free, always = kinds[:MOST_FREE], tuple(kinds[MOST_FREE:])
         quotes = [False, True] if '"' in text else [False]
-        return [(c, q) for n in range(len(kinds) + 1) for c in combinations(kinds, n) for q in quotes]
+        return [(c + always, q) for n in range(len(free) + 1) for c in combinations(free, n) for q in quotes]
 
     def parse(self, text: str, kinds: tuple[str, ...], quoted: bool) -> list[str] | None:
         """Values by one dialect, or null if its quotes do not fit."""
@@ -142,7 +150,7 @@ class Parser:
             end_of_last = self.element(piece)
         return [v for v in (p if q else p.strip(_BLANK) for p, q in out) if v.strip(_BLANK)]
 
-    def composed_bits(self, value: str) -> float:
+    def _composed_bits(self, value: str) -> float:
         """Bits of a value by its composition: names from the lists, known words, and signs that nothing explains."""
         toks = tokens(value)
         near = [self.g.repair(t) for t in toks]
