@@ -68,7 +68,7 @@ def test_recall_at_the_threshold(spark):
     for i in range(300):  # pairs of exactly 0.6
         x = r.integers(-(2**62), 2**62, 130)
         rows += [(2 * i, x[:105].tolist()), (2 * i + 1, np.concatenate([x[:80], x[105:]]).tolist())]
-    out = {k.id: set(k[f"at{depth}"]) for k in forest_keys(spark.createDataFrame(rows, "id long, shingles array<long>"), [depth]).collect()}
+    out = {k.id: set(k[f"at{depth}"]) for k in forest_keys(spark.createDataFrame(rows, "id long, shingles array<long>"), {depth: 50}, 50 * depth).collect()}
     assert sum(bool(out[2 * i] & out[2 * i + 1]) for i in range(300)) / 300 > 0.97
 
 
