@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathe.session import cut, ranked_within
+from lathe.session import cut, growing, ranked_within
 
 STORE = ["store_id", "source_kind", "source_instance"]
 
@@ -56,7 +56,7 @@ def dumps(stored: DataFrame, scans: DataFrame) -> DataFrame:
         F.coalesce(canonical("status"), F.lit("")).alias("status"),
         *[F.when(canonical(c).isNotNull(), F.xxhash64(canonical(c))).alias(a) for c, a in (("fingerprint", "fp"), ("content_fingerprint", "cfp"))],
     ).where("scan_id IS NOT NULL AND job_id IS NOT NULL")
-    loaded = rows.join(placed.drop("close_ids"), "scan_id").withColumn(
+    loaded = rows.join(growing(placed.drop("close_ids")), "scan_id").withColumn(
         "row", F.struct("loaded_at", "status", "fp", "cfp")
     ).drop("loaded_at", "status", "fp", "cfp").withColumn("closes", F.lit(False))
     # The plan's closings ride along as marker rows; so one aggregation replaces a join.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.functions.places import ARRANGEMENT, AROUND, Gazetteer, gazetteer, token, tokens
-from lathe.session import cut, table
+from lathe.session import cut, growing, table
 
 # Delimiters by kind, in the order in which they are tried at a place.
 DELIMITERS = {
@@ -213,16 +213,16 @@ def split_values(df: DataFrame, key: str, field: str, places: DataFrame, countri
     each = parsed.select("field", "dialect", "overhead", F.size("vals").alias("n"), F.posexplode(F.arrays_zip("vals", "bits")).alias("i", "v"))
     each = each.withColumn("code", F.lower(F.trim("v.vals")))
     # How often the corpus has a value: in the parse by all delimiters, which names each field's parts.
-    widest = parsed.groupBy("field").agg(F.max_by("vals", F.struct("signs", F.size("vals"), "dialect")).alias("vals")).join(fields, "field")
+    widest = parsed.groupBy("field").agg(F.max_by("vals", F.struct("signs", F.size("vals"), "dialect")).alias("vals")).join(growing(fields), "field")
     book = widest.select(F.explode("vals").alias("v"), "rows").groupBy(F.lower(F.trim("v")).alias("code")).agg(F.sum("rows").alias("seen"))
     total = book.agg(F.sum("seen")).first()[0] or 1
-    coded = each.join(book, "code", "left")
+    coded = each.join(growing(book), "code", "left")
     # A code's entry in the book is paid once by all that use it, so a value seen once gains nothing.
     bits = F.least(F.col("v.bits"), F.coalesce(F.log2(F.lit(float(total)) / F.col("seen")) + 1 + F.col("v.bits") / F.col("seen"), F.lit(1e9)))
     cost = coded.groupBy("field", "dialect").agg((F.sum(bits) + F.first("overhead")).alias("cost"), F.first("n").alias("n"))
     best = cost.groupBy("field").agg(F.min_by("dialect", F.struct(F.round("cost", 6), -F.col("n"), "dialect")).alias("dialect"))
-    chosen = parsed.join(best, ["field", "dialect"]).select("field", "vals", F.size("vals").alias("n"))
-    out = rows.join(chosen, "field").select(F.col("__key").alias(key), F.posexplode("vals").alias("i", "val"), "n")
+    chosen = parsed.join(growing(best), ["field", "dialect"]).select("field", "vals", F.size("vals").alias("n"))
+    out = rows.join(growing(chosen), "field").select(F.col("__key").alias(key), F.posexplode("vals").alias("i", "val"), "n")
     return out.select(key, (F.col("i") + 1).cast("long").alias("pos"), "val", "n")
 
 

@@ -54,6 +54,11 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """Mark a side that grows with the data: its joins sort and merge, and no estimate turns them into a broadcast."""
+    return df.hint("merge")
+
+
 def ranked_within(df: DataFrame, keys: list[str], order: list, slice_by, out: str = "rank") -> DataFrame:
     """Row number (from 1) within ``keys`` without one task per key.
 
