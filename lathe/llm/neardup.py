@@ -17,14 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathe.operators.graph import connected_components
-from lathe.session import cut, table
+from lathe.session import cut, growing, table
 
 TREES = 50
 DEPTH = 8
+#: Trees that look for near-copies at full depth; a pair of 0.9 meets in one of them with 0.996.
+DEEP_TREES = 10
 TARGET_RECALL = 0.998
 
 
@@ -55,37 +57,45 @@ def shingle_hashes(words: list[str], width: int, known: dict[str, int]) -> np.nd
     return np.unique((out ^ (out >> np.uint64(32))).view(np.int64))
 
 
-def shingled(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, same, shingles): ``same`` is equal for equal word sequences."""
+_FIND = r"[\p{L}\p{N}]+"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
 
+def words_digest(lower: DataFrame) -> DataFrame:
+    """(key, same): ``same`` is equal for equal word sequences of (key, text)."""
+    words = F.regexp_extract_all("text", F.lit(f"({_FIND})"), 1)
+    return lower.select("key", F.unhex(F.md5(F.array_join(words, " "))).alias("same"))
+
+
+def shingled(lower: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of (key, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
-        find, known = regex.compile(r"[\p{L}\p{N}]+").findall, {}
+        find, known = regex.compile(_FIND).findall, {}
         for b in batches:
             if len(known) > 500_000:
                 known.clear()
-            words = [find(t) for t in b["text"]]
-            same = [hashlib.md5(" ".join(w).encode()).digest() for w in words]
-            yield pd.DataFrame({"key": b["key"], "same": same, "shingles": [shingle_hashes(w, width, known) for w in words]})
+            yield pd.DataFrame({"id": b["key"], "shingles": [shingle_hashes(find(t), width, known) for t in b["text"]]})
+
+    return lower.mapInPandas(run, "id long, shingles array<long>")
 
-    lower = df.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    return lower.mapInPandas(run, "key long, same binary, shingles array<long>")
 
+def forest_keys(sets: DataFrame, levels: dict[int, int], width: int = TREES * DEPTH) -> DataFrame:
+    """(id, at<depth>..., bits): hashes of the prefixes of the first trees at each depth, and a sketch.
 
-def forest_keys(sets: DataFrame, depths: list[int], trees: int = TREES) -> DataFrame:
-    """(id, keys): for each depth the hashes of the prefixes of all trees."""
-    deepest = max(depths)
+    ``levels`` maps a depth to its number of trees; ``width`` hash functions
+    are drawn. The sketch has one bit of each minimum, 64 to a long.
+    """
     rng = np.random.default_rng(20240131)
-    a = rng.integers(1, 2**63, trees * deepest, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, trees * deepest, dtype=np.uint64)
+    a = rng.integers(1, 2**63, width, dtype=np.uint64) | np.uint64(1)
+    b = rng.integers(0, 2**63, width, dtype=np.uint64)
+    deepest = max(levels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        tree = np.arange(width // deepest, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            out = []
+            out, sketch = {d: [] for d in levels}, []
             for s in batch["shingles"]:
                 x, low = np.asarray(s, np.int64).view(np.uint64), None
                 for i in range(0, len(x), 256):  # blocks that stay in the processor's cache
@@ -93,32 +103,38 @@ def forest_keys(sets: DataFrame, depths: list[int], trees: int = TREES) -> DataF
                     m += b
                     m = m.min(axis=0)
                     low = m if low is None else np.minimum(low, m)
-                sig, keys, k = low.reshape(trees, deepest), tree.copy(), []
+                sig, keys = low[: len(tree) * deepest].reshape(-1, deepest), tree.copy()
                 for d in range(deepest):
                     keys = (keys ^ sig[:, d]) * np.uint64(0xFF51AFD7ED558CCD)
                     keys ^= keys >> np.uint64(33)
-                    if d + 1 in depths:
-                        k.append(keys.view(np.int64).copy())
-                out.append(k)
-            data = {"id": batch["id"]}
-            for j, d in enumerate(sorted(depths)):
-                data[f"at{d}"] = [k[j] for k in out]
-            yield pd.DataFrame(data)
-
-    schema = "id long, " + ", ".join(f"at{d} array<long>" for d in sorted(depths))
+                    if d + 1 in levels:
+                        out[d + 1].append(keys[: levels[d + 1]].view(np.int64).copy())
+                bits = (low * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(63)
+                sketch.append(np.packbits(bits[: width // 64 * 64].astype(np.uint8)).view(np.int64))
+            yield pd.DataFrame({"id": batch["id"], **{f"at{d}": k for d, k in out.items()}, "bits": sketch})
+
+    schema = "id long, " + ", ".join(f"at{d} array<long>" for d in levels) + ", bits array<long>"
     return sets.select("id", "shingles").mapInPandas(run, schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of (a, b) the pairs whose exact Jaccard similarity reaches the threshold."""
-    s = sets.select("id", "shingles", F.size("shingles").alias("n"))
-    sizes = s.select("id", "n")
-    # Only pairs whose sizes allow the threshold fetch their sets.
-    pairs = pairs.join(sizes.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
-    pairs = pairs.where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)).select("a", "b")
-    both = pairs.join(s.withColumnsRenamed({"id": "a", "shingles": "sa", "n": "na"}), "a").join(s.withColumnsRenamed({"id": "b", "shingles": "sb", "n": "nb"}), "b")
+def least_equal_bits(threshold: float, bits: int) -> int:
+    """Equal sketch bits that a pair at the threshold misses with a chance under 1e-5 (4.5 deviations)."""
+    return math.floor(bits * (1 + threshold) / 2 - 4.5 * math.sqrt(bits * (1 - threshold**2) / 4))
+
+
+def verified(pairs: DataFrame, forest: DataFrame, sets: DataFrame, threshold: float, bits: int) -> DataFrame:
+    """Of (a, b) the pairs whose exact Jaccard similarity reaches the threshold.
+
+    Sizes and sketches, a few bytes a text, rule most pairs out before any set is fetched.
+    """
+    small = growing(forest.select("id", "n", "bits"))
+    near = pairs.join(small.withColumnsRenamed({"id": "a", "n": "na", "bits": "ba"}), "a").join(small.withColumnsRenamed({"id": "b", "n": "nb", "bits": "bb"}), "b")
+    equal = F.lit(bits) - sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(bits // 64)), F.lit(0))
+    near = near.where((F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)) & (equal >= least_equal_bits(threshold, bits))).select("a", "b")
+    s = growing(sets.select("id", "shingles"))
+    both = near.join(s.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(s.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared >= (F.col("na") + F.col("nb") - shared) * F.lit(threshold) - 1e-9).select("a", "b")
+    return both.where(shared >= (F.size("sa") + F.size("sb") - shared) * F.lit(threshold) - 1e-9).select("a", "b")
 
 
 def groups(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, trees: int = TREES, target: float = TARGET_RECALL) -> DataFrame:
@@ -130,15 +146,20 @@ def groups(df: DataFrame, key: str, text: str, width: int = 5, threshold: float
     other rows with fewer than ``width`` words, which have no shingles, stand
     alone. Rows with a null key or text are left out. Keys must be unique.
     """
-    depths = sorted({DEPTH, final_depth(threshold, trees, DEPTH, target)}, reverse=True)
-    rows = cut(shingled(df, key, text, width))
-    classes = rows.groupBy("same").agg(F.min("key").alias("id"))
-    member = cut(rows.select("key", "same").join(classes, "same").select("key", "id"))
-    sets = cut(rows.join(member.where("key = id").select("key"), "key").select(F.col("key").alias("id"), "shingles").where(F.size("shingles") > 0))
-    forest = cut(forest_keys(sets, depths, trees))
+    shallow = final_depth(threshold, trees, DEPTH, target)
+    levels = {DEPTH: min(DEEP_TREES, trees), shallow: trees} if shallow < DEPTH else {DEPTH: trees}
+    lower = df.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    same = cut(words_digest(lower))
+    classes = same.groupBy("same").agg(F.min("key").alias("id"))
+    member = cut(same.join(growing(classes), "same").select("key", "id"))
+    # Only one row of each class goes on, and its text travels rather than its shingles.
+    chosen = lower.join(growing(member.where("key = id").select("key")), "key", "left_semi")
+    sets = cut(shingled(chosen, width).where(F.size("shingles") > 0))
+    forest = cut(forest_keys(sets, levels, trees * DEPTH).join(growing(sets.select("id", F.size("shingles").alias("n"))), "id"))
     edges, comp = None, None
-    for depth in depths:
-        found = cut(verified(_candidates(forest, f"at{depth}", comp, last=depth == depths[-1]), sets, threshold))
+    for depth in sorted(levels, reverse=True):
+        candidates = _candidates(forest, f"at{depth}", comp, last=depth == min(levels))
+        found = cut(verified(candidates, forest, sets, threshold, trees * DEPTH // 64 * 64))
         edges = found if edges is None else edges.unionByName(found)
         comp = connected_components(edges, "a", "b")
     grouped = member.join(comp.withColumnRenamed("node", "id"), "id", "left")
@@ -149,20 +170,21 @@ def _candidates(forest: DataFrame, keys: str, comp: DataFrame | None, last: bool
     """(a, b), a < b, of different groups that share a prefix of some tree.
 
     Before the last level only pairs of a bucket's least member with the others,
-    at the last one all pairs of members of different groups.
+    at the last one all pairs of members of different groups. One shuffle by
+    the prefix tells which buckets hold more than one group.
     """
-    nodes = forest.select("id", F.explode(keys).alias("key"))
+    nodes = forest.select("id", keys)
     if comp is None:
         nodes = nodes.withColumn("comp", F.col("id"))
     else:
-        known = comp.withColumnsRenamed({"node": "id", "component": "c"})
-        held = forest.select("id", keys).join(known, "id", "left").select("id", F.coalesce("c", "id").alias("comp"), keys)
-        nodes = held.select("id", "comp", F.explode(keys).alias("key"))
-    shared = nodes.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("id").alias("head")).where("lo <> hi")
+        known = comp.select(F.col("node").alias("id"), F.col("component").alias("c"))
+        nodes = nodes.join(known, "id", "left").select("id", F.coalesce("c", "id").alias("comp"), keys)
+    bucket = Window.partitionBy("key")
+    nodes = nodes.select("id", "comp", F.explode(keys).alias("key"))
+    nodes = nodes.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket), "head": F.min("id").over(bucket)}).where("lo <> hi")
     if not last:
-        pairs = nodes.join(shared, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-        return pairs.distinct()
-    held = cut(nodes.join(shared.select("key"), "key"))
+        return nodes.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    held = cut(nodes.select("key", "comp", "id"))
     by_comp = held.select("key", "comp").distinct()
     left = by_comp.select("key", F.col("comp").alias("ca"))
     right = by_comp.select("key", F.col("comp").alias("cb"))
