@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lathe.functions import dates, ids, text, urls
 from lathe.functions.html import absolute_urls, html_to_text
-from lathe.operators import identity, joins, lifecycle, selection
+from lathe.operators import identity, joins, lifecycle, records, selection
 from lathe.session import table
 from lathe.streaming import events as ev
 
@@ -471,3 +471,119 @@ def idempotent_insert(spark, d):
 def board_offsets(spark, d):
     at = lambda t: dates.utc_offset_minutes(F.lit(t).cast("timestamp"), "zone")
     return table(spark, d, "boards").select("board", at("2025-01-15 00:00:00").alias("winter"), at("2025-07-15 00:00:00").alias("summer"))
+
+
+# Facts from several statements
+
+_P = "SELECT *, concat_ws(':', source.kind, source.instance) AS src FROM job_records"
+
+
+@query("s254_supersession", "SELECT row_id, row_number() OVER (PARTITION BY job_id ORDER BY received_at DESC, row_id DESC) = 1 AS active FROM job_records")
+def supersession(spark, d):
+    return records.standing(_jobs(spark, d), ["job_id"], [F.col("received_at"), F.col("row_id")]).select("row_id", "active")
+
+
+@query(
+    "s255_composition",
+    """WITH b AS (SELECT opportunity_id, arg_min(workplace_type, (CASE WHEN status = 'open' THEN '0' ELSE '1' END) || lpad(row_id::VARCHAR, 12, '0')) AS value, count(DISTINCT workplace_type) - 1 AS others
+      FROM job_records WHERE workplace_type IS NOT NULL AND opportunity_id IS NOT NULL GROUP BY opportunity_id)
+    SELECT b.opportunity_id, b.value, count(*) AS agreeing, any_value(others) AS others FROM b JOIN job_records r ON r.opportunity_id = b.opportunity_id AND r.workplace_type = b.value GROUP BY 1, 2""",
+)
+def composition(spark, d):
+    j = _jobs(spark, d).where("workplace_type IS NOT NULL AND opportunity_id IS NOT NULL")
+    return records.composed(j, ["opportunity_id"], "workplace_type", F.when(F.col("status") == "open", 0).otherwise(1), "row_id")
+
+
+@query(
+    "s251_field_ownership",
+    """SELECT job_id, arg_max(title, (status IS NOT DISTINCT FROM 'open')::INT::VARCHAR || received_at::VARCHAR || lpad(row_id::VARCHAR, 12, '0')) AS value,
+    count(DISTINCT title) > 1 AND NOT bool_or(status IS NOT DISTINCT FROM 'open') AS disputed FROM job_records WHERE title IS NOT NULL GROUP BY job_id""",
+)
+def field_ownership(spark, d):
+    return records.owned_fields(_jobs(spark, d).where("title IS NOT NULL"), ["job_id"], "title", F.col("status").eqNullSafe(F.lit("open")), "received_at", "row_id")
+
+
+@query(
+    "s119_majority",
+    """WITH v AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), a AS (SELECT user_id, sum(n) AS total, max(n) AS most, arg_max(event_type, lpad(n::VARCHAR, 9, '0') || event_type) AS top, bool_or(event_type = 'error' AND n > 0) AS veto FROM v GROUP BY 1)
+    SELECT user_id, CASE WHEN veto OR most * 2 <= total THEN 'unclear' ELSE top END AS verdict FROM a""",
+)
+def majority_vote(spark, d):
+    return records.majority(table(spark, d, "events"), ["user_id"], "event_type", F.col("event_type") == "error")
+
+
+@query(
+    "s118_stability",
+    "WITH e AS (SELECT opportunity_id, count(DISTINCT coalesce(employment_type, chr(1))) = 1 AS same FROM job_records WHERE opportunity_id IS NOT NULL GROUP BY 1) SELECT count(*) AS items, round(avg(same::INT), 4) AS stable_share FROM e",
+)
+def answer_stability(spark, d):
+    return records.stability(_jobs(spark, d).where("opportunity_id IS NOT NULL"), ["opportunity_id"], "employment_type")
+
+
+@query(
+    "s116_precision",
+    """SELECT source.kind AS kind, count(*) FILTER (WHERE status = 'open') AS surfaced, round(count(*) FILTER (WHERE status = 'open' AND workplace_type = 'remote') / nullif(count(*) FILTER (WHERE status = 'open'), 0), 4) AS strict,
+    round(count(*) FILTER (WHERE status = 'open' AND workplace_type IN ('remote', 'hybrid')) / nullif(count(*) FILTER (WHERE status = 'open'), 0), 4) AS relaxed FROM job_records GROUP BY 1""",
+)
+def precision_shares(spark, d):
+    w = F.col("workplace_type")
+    j = _jobs(spark, d).withColumn("kind", F.col("source.kind"))
+    return records.precision(j, ["kind"], F.col("status").eqNullSafe(F.lit("open")), w.eqNullSafe(F.lit("remote")), w.eqNullSafe(F.lit("hybrid")))
+
+
+@query("s051_entities")
+def entity_rows(spark, d):
+    return records.entities(table(spark, d, "boards"), "board", "board", ["kind", "company", "zone", "date_order"])
+
+
+@query(
+    "s303_sightings",
+    f"""WITH p AS ({_P}) SELECT company, arg_min(workplace_type, first_seen_at::VARCHAR || workplace_type) AS workplace_type, arg_min(employment_type, first_seen_at::VARCHAR || employment_type) AS employment_type,
+    count(*) AS seen, count(DISTINCT src) AS places FROM p WHERE company IS NOT NULL GROUP BY company""",
+)
+def lead_sightings(spark, d):
+    j = _jobs(spark, d).withColumn("src", F.concat_ws(":", "source.kind", "source.instance"))
+    return records.sightings(j, "company", "first_seen_at", ["workplace_type", "employment_type"], "src")
+
+
+@query(
+    "s217_plausible_readings",
+    """WITH t AS (SELECT name, max(population) AS top FROM places GROUP BY name) SELECT p.name, count(DISTINCT geo_id) AS refs, arg_max(geo_id, population * 1000000 + geo_id) AS first, count(DISTINCT geo_id) > 1 AS ambiguous
+    FROM places p JOIN t USING (name) WHERE population >= top * 0.1 GROUP BY p.name""",
+)
+def plausible(spark, d):
+    return records.plausible_readings(table(spark, d, "places"), "name", "geo_id", "population")
+
+
+@query(
+    "s219_place_containment",
+    """SELECT c.continent, c.c1 AS country, p.region, count(*) AS places, sum(p.population)::BIGINT AS population FROM places p JOIN countries c ON c.code = p.country_code GROUP BY ALL""",
+)
+def place_containment(spark, d):
+    p = table(spark, d, "places").groupBy(F.col("country_code").alias("code"), "region").agg(F.count(F.lit(1)).alias("places"), F.sum("population").alias("population"))
+    return p.join(table(spark, d, "countries").select("code", "continent", F.col("c1").alias("country")), "code").select("continent", "country", "region", "places", "population")
+
+
+@query(
+    "s111_yield_report",
+    """SELECT source.kind AS kind, count(*) AS hits, count(DISTINCT job_id) AS jobs, count(DISTINCT company) AS companies, round(1 - count(DISTINCT job_id) / count(*), 4) AS duplicate_rate,
+    round(count(*) FILTER (WHERE status = 'closed') / count(*), 4) AS stale_rate FROM job_records GROUP BY 1""",
+)
+def yield_report(spark, d):
+    n = F.count(F.lit(1))
+    return _jobs(spark, d).groupBy(F.col("source.kind").alias("kind")).agg(
+        n.alias("hits"), F.countDistinct("job_id").alias("jobs"), F.countDistinct("company").alias("companies"), F.round(1 - F.countDistinct("job_id") / n, 4).alias("duplicate_rate"),
+        F.round(F.count_if(F.col("status") == "closed") / n, 4).alias("stale_rate"),
+    )
+
+
+@query("s164_sentences")
+def sentences(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", F.posexplode(text.sentence_list("text")).alias("pos", "sentence"))
+
+
+@query("s163_words")
+def words(spark, d):
+    t = table(spark, d, "ashby_jobs").where("title IS NOT NULL")
+    return t.select("row_id", F.posexplode(text.words_with_offsets("title")).alias("pos", "w")).select("row_id", "pos", "w.*")
