@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lathe.functions.timestamps import MONTHS
+
 
 def standing(df: DataFrame, keys: list[str], at: list[Column]) -> DataFrame:
     """Adds ``active``: only the last statement of a key stands, earlier ones are superseded."""
@@ -74,5 +76,6 @@ def plausible_readings(candidates: DataFrame, name: str, ref: str, weight: str,
 
 def date_ranges(c: Column) -> Column:
     """array<string>: spans like "Mar 2021 – Present" or "2019 - 2021" in a line, in order."""
-    month = r"(?:\p{L}{3,9}\.?\s+|\d{1,2}/)?"
+    names = "|".join(sorted({m for line in MONTHS.values() for m in line.split()}, key=len, reverse=True))
+    month = rf"(?:(?:{names})\.?\s+(?:de\s+)?|\d{{1,2}}/)?"
     return F.regexp_extract_all(c, F.lit(rf"(?iU)(\b{month}(?:19|20)\d\d\s*(?:-|–|—|to|bis|a|à)\s*(?:{month}(?:19|20)\d\d\b|present|current|now|today|heute))"), 1)
