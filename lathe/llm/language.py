@@ -51,19 +51,23 @@ def label_code(label: Column | str) -> Column:
     return F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])[first]
 
 
+#: A break with blanks on both sides stands within a line.
+_STRAY = regex.compile(r"(?<=[ \u00a0])[\r\n\u2028\u2029\x0b\x0c\x85]+(?=[ \u00a0])").sub
 _LINES = regex.compile(r"[\r\n\u2028\u2029\x0b\x0c\x85]+").split
 _ENDS = regex.compile(r"(?<=[.!?…]['\"”’»)]*)\s+(?=[^\s])|(?<=[。！？])").split
 _FULL = regex.compile(r"[.!?…。！？]['\"”’»)\]]*$").search
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]").findall
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*").findall
 _DIGITS, _HIDDEN = regex.compile(r"\p{N}+").sub, regex.compile(r"\p{Cf}+").sub
+_INNER = regex.compile(r"\p{L}[.!?…。！？]").search
+_LONG = regex.compile(r"(?<![\p{L}./:@-])\p{L}{2,}(?![./:@]\p{L})").findall
 _AROUND = " \t\u00a0•·*-–—\ufeff\u200b"
 
 
 def sentences(text: str) -> list[tuple[str, bool]]:
     """(sentence, full): pieces in order of writing; ``full`` ones are real sentences."""
     out = []
-    for line in _LINES(text):
+    for line in _LINES(_STRAY(" ", text)):
         for s in _ENDS(line):
             s = s.strip(_AROUND)
             if s:
@@ -103,8 +107,13 @@ class Compressors:
         if not text or not self.langs:
             return []
         parts = sentences(text)
-        if not any(full for _, full in parts):
-            return []
+        if not any(full for _, full in parts):  # a text of one sentence that breaks or odd ends hide
+            whole = " ".join(text.split())
+            parts = sentences(whole)
+            if not any(full for _, full in parts):
+                if not _INNER(whole) or len(_LONG(whole)) < 5:
+                    return []
+                parts = [(whole, True)]
         # Lines that are no sentences (titles, headings, single words) say nothing about a change.
         n = len(self.by)
         sizes = np.array([[len(c.compress(d)) for c in self.by] for d in (plain(s) for s, ok in parts if ok)], np.float64)

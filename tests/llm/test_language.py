@@ -39,6 +39,7 @@ def test_found_languages(spark):
     assert [x for _, x, _ in c.passages("Staff Engineer Berlin\n" + add["fr"] + " Das Wort Kindergarten.")] == ["fr"]
     for nothing in (None, "", "   ", "🚀—★", "https://a.example/1 22 / 33", "Staff Engineer"):
         assert c.passages(nothing) == []
+    assert [x for _, x, _ in c.passages("Our team likes to work \r\n together, and \x0b nobody stays late.é")] == ["en"]
     long = (add["en"] + " ") * 300
     assert [x for _, x, _ in c.passages(long)] == ["en"]
 
