@@ -12,16 +12,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lathe.operators.lifecycle import plan_scan
 
 
+def _watched(events: DataFrame, late: str) -> DataFrame:
+    """A stream with its watermark, which needs a time with a zone; a finished table stays as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """(window_start, event_type, n_events, sum_value) of tumbling windows; rows later than ``late`` are dropped by the watermark in a stream."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    timed = _watched(events, late)
     counted = timed.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 2).alias("sum_value"))
     return counted.select(F.col("window.start").alias("window_start"), "event_type", "n_events", "sum_value")
 
 
 def deduplicated(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Each event id once within the watermark."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    timed = _watched(events, late)
+    return timed.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else timed.dropDuplicates(["event_id"])
 
 
 def fold_state(events: DataFrame, ranks: dict[str, int]) -> DataFrame:
