@@ -59,6 +59,13 @@ def growing(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over three tasks a core and more: before costly functions on rows too short for AQE to keep them apart."""
+    spark = df.sparkSession
+    n = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *by)
+
+
 def ranked_within(df: DataFrame, keys: list[str], order: list, slice_by, out: str = "rank") -> DataFrame:
     """Row number (from 1) within ``keys`` without one task per key.
 
