@@ -10,7 +10,7 @@ COUNTRIES = "code string, c1 string, population long, other_names array<string>"
 P = [
     (1, "Sosulaedaelt", "Ruprouves", "XC", 900, [], ""), (2, "Triskekos", "Predom", "XI", 700, ["TRS"], ""), (3, "Saint Feilokux", "Lalegri", "XE", 30, None, ""),
     (4, "Stulind", "Predom", "XI", 50, [], ""), (5, "Stulind", "Detilei", "XY", 500, [], ""), (6, "Postem", "Detilei", "XY", 5, ["Lemond"], ""), (7, "Tivufeitreim & Datiha", "Thoud", "XG", 1, [], ""),
-    (8, "New Pralílt", "Couklox", "XH", 2, [], ""), (9, "Titheik-Ost", "Couklox", "XH", 2, [], ""),
+    (8, "New Pralílt", "Couklox", "XH", 2, [], ""), (9, "Titheik-Ost", "Couklox", "XH", 2, [], ""), (10, "Baden-Baden", "Couklox", "XH", 2, [], ""),
 ]
 C = [("XC", "Tutaland", 1, ["Theivras"]), ("XI", "Peifenia", 1, []), ("XE", "Ciskigrunia", 1, ["Kingdom of Ciskigrunia"]), ("XY", "Biprikilt", 1, []), ("XG", "Bipaerkia", 1, []), ("XH", "Proubeik and Perovraem", 1, None)]
 
@@ -25,7 +25,8 @@ def test_values(spark):
         "Trskekos": "place:2", "Trsekos": "place:2", "Trkos": "none", "TRS, Peifenia": "place:2", "St. Feilokux": "place:3", "Saint Feilokux, Lalegri, XE": "place:3", "Stulind": "place:5", "Stulind, XI": "place:4",
         "Stulind Peifenia": "place:4", "Peifenia - Stulind": "place:4", "Stulind, Predom": "place:4", "Postm": "place:6", "Pstm": "none", "Lemond": "place:6", "Tivufeitreim & Datiha, XG": "place:7",
         "new-pralilt": "place:8", "New Pralílt office": "place:8", "Titheik Ost": "place:9", "Nowhere, Theivras": "country:XC", "Remote - Kingdom of Ciskigrunia": "country:XE", "xy": "country:XY",
-        "Proubeik and Perovraem": "country:XH", "Tutalnd": "country:XC", "Nowhere": "none", "Remote": "none", "TBD": "none", "-": "none", "Sosulaedaelt, Peifenia": "country:XI", '"Postem"': "place:6", "": "none",
+        "Proubeik and Perovraem": "country:XH", "Tutalnd": "country:XC", "Pralilt new": "place:8", "new xx pralilt": "place:8", "Pralilt": "none", "new": "none", "xx yy Postem": "none", "Ost Titheik, XH": "place:9",
+        "Baden Baden": "place:10", "Baden": "none", "Feilokux, Triskekos": "place:2", "Nowhere": "none", "Remote": "none", "TBD": "none", "-": "none", "Sosulaedaelt, Peifenia": "country:XI", '"Postem"': "place:6", "": "none",
         "word " * 20_000: "none",
     }
     df = spark.createDataFrame([(v,) for v in want] + [(None,), ("xy",)], "val string")
@@ -55,6 +56,16 @@ def test_repair_against_brute_force(spark):
     assert got == want
 
 
+def test_all_equally_near_words(spark):
+    """A token one slip from ten listed words means each of them; region and country decide."""
+    names = [f"Grando{c}el" for c in "abcdfghijk"]
+    places = spark.createDataFrame([(i, n, f"Region{i}", f"C{i}", i, [], "") for i, n in enumerate(names)], PLACES)
+    countries = spark.createDataFrame([(f"C{i}", f"Land{'abcdefghij'[i] * 4}", 1, []) for i in range(10)], COUNTRIES)
+    df = spark.createDataFrame([(f"Grandoxel, C{i}",) for i in range(10)] + [("Grandoxel",)], "val string")
+    got = {r.val: r.ref for r in mapped(df, places, countries).collect()}
+    assert got == {f"Grandoxel, C{i}": f"place:{i}" for i in range(10)} | {"Grandoxel": "place:9"}
+
+
 def test_positions_and_empty(spark):
     G = "row_id long, location struct<name:string>, val string"
     J = "row_id long, location string, locations array<string>, pos int"
