@@ -7,7 +7,7 @@ import unicodedata
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import lru_cache
-from math import log, sqrt
+from math import log
 
 from pyspark.sql import DataFrame
 
@@ -100,7 +100,13 @@ class Gazetteer:
             for n in [p["name"], *(p["other_names"] or [])]:
                 self._add(n, e)
             self._add(p["region"], Entry(f"region:{p['country_code']}", "region", p["country_code"], e.region, 0))
-        self.longest = max((len(t) for t in self.names), default=0)
+        #: Words of names to nodes, "" to the entries of a name that ends there.
+        self.trie: dict = {}
+        for t, entries in self.names.items():
+            node = self.trie
+            for w in t:
+                node = node.setdefault(w, {})
+            node[""] = frozenset(entries)
         self.vocabulary = {w for t in self.names for w in t}
         seen: dict[str, int] = defaultdict(int)
         for t in self.names:
@@ -139,19 +145,29 @@ class Gazetteer:
         return self.repairs[token]
 
     def occurrences(self, toks: list[str], repairs: list[list[tuple[str, int]]], segment: list[int]) -> list[tuple[int, int, frozenset[Entry], int]]:
-        """(from, to, entries, slips) of listed names in a token row, longest first, without overlaps; a name stays in one segment."""
+        """(from, to, entries, slips) of listed names in a token row, longest first, without overlaps; a name stays in one segment.
+
+        All equally near words of a token are followed at once through the trie of
+        names, so their number never multiplies.
+        """
         found, i, n = [], 0, len(toks)
         while i < n:
-            hit = None
-            for k in range(min(self.longest, n - i), 0, -1):
-                if segment[i] != segment[i + k - 1] or not all(repairs[i : i + k]):
-                    continue
-                for words, d in _combined(repairs[i : i + k]):
-                    entries = self.names.get(words)
-                    if entries and (hit is None or d < hit[3]):
-                        hit = (i, i + k, frozenset(entries), d)
-                if hit:
+            states, hit, j = [(self.trie, 0)], None, i
+            while j < n and segment[j] == segment[i] and repairs[j]:
+                reached: dict[int, tuple[dict, int]] = {}
+                for node, d in states:
+                    for w, e in repairs[j]:
+                        child = node.get(w)
+                        if child is not None and (id(child) not in reached or d + e < reached[id(child)][1]):
+                            reached[id(child)] = (child, d + e)
+                if not reached:
                     break
+                j += 1
+                states = list(reached.values())
+                ends = [(d, node[""]) for node, d in states if "" in node]
+                if ends:
+                    d, entries = min(ends, key=lambda x: x[0])
+                    hit = (i, j, entries, d)
             if hit:
                 found.append(hit)
                 i = hit[1]
@@ -159,32 +175,10 @@ class Gazetteer:
                 i += 1
         return found
 
-    def soft_tf_idf(self, segment: list[tuple[str, list[tuple[str, int]]]], name: tuple[str, ...]) -> float:
-        """Cosine of a segment's weighted words and a name, a repaired word counting by its similarity."""
-        weight = lambda w: self.idf.get(w, self.rare)
-        dot = own = 0.0
-        left = list(name)
-        for token, near in segment:
-            match = next(((w, d) for w, d in near if w in left), None)
-            w = weight(match[0] if match else token)
-            own += w * w
-            if match:
-                left.remove(match[0])
-                dot += w * w * (1 - 0.5 * match[1] / max(len(match[0]), 1))
-        full = sum(weight(w) ** 2 for w in name)
-        return dot / sqrt(own * full) if own and full else 0.0
-
     def is_placeholder(self, text: str) -> bool:
         return re.sub(r"\s+", " ", fold(text)).strip(" .()") in self.spelled
 
 
-def _combined(repairs: list[list[tuple[str, int]]]):
-    out = [((), 0)]
-    for near in repairs:
-        out = [(t + (w,), d + e) for t, d in out for w, e in near[:6]]
-    return out
-
-
 def gazetteer(places: DataFrame, countries: DataFrame, most: int = 200_000) -> Gazetteer:
     """Read the two reference lists, which must be under ``most`` rows, onto the driver."""
     p = places.select("geo_id", "name", "region", "country_code", "population", "other_names").limit(most + 1).collect()

@@ -14,13 +14,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import log2
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.functions.places import ARRANGEMENT, AROUND, Gazetteer, gazetteer, token, tokens
-from lathe.session import cut, growing, table
+from lathe.session import cut, growing, spread, table
 
 # Delimiters by kind, in the order in which they are tried at a place.
 DELIMITERS = {
@@ -31,18 +32,21 @@ DELIMITERS = {
     "dot": r"[·∙]",
     "slash": r"/+",
     "plus": r"\s\+\s",
-    "and": r"(?<=\s)(?:and|und|y|et)(?=\s)",
-    "or": r"(?<=\s)or(?=\s)",
+    "and": r"(?:,\s*)?(?<=\s)(?:and|und|y|et)(?=\s)",
+    "or": r"(?:,\s*)?(?<=\s)or(?=\s)",
     "ampersand": r"&",
     "comma": r",",
 }
 #: Bits of a sign that nothing explains, of a joint within a value, of a delimiter left inside one, of declaring a delimiter, and of one use of it.
 SIGN_BITS, JOINT_BITS, ODD_BITS, DECLARE_BITS, DELIMITER_BITS = 5.0, 1.0, 8.0, 2.0, 1.0
-#: Kinds of delimiters of one field that are tried in every combination.
-MOST_FREE = 7
+#: Characters of values that one batch of parses holds before it is handed on.
+BATCH_CHARS = 4_000_000
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in DELIMITERS.items()), re.IGNORECASE)
 _WORD = re.compile(r"[^\W_]+")
+#: Bits that choose a letter and its slip, and one of the words around names; a name costs the choice among all listed ones.
+SLIP_BITS, WORD_BITS = log2(26) + 1, log2(len(ARRANGEMENT | AROUND))
 _BLANK = " \t\r\n\u00a0\u2007\u2009\u202f\u200b\ufeff"
+_BLANKS, _OPEN, _QUOTED = re.compile(f"[{_BLANK}]*"), re.compile(f'[{_BLANK}]*"'), re.compile(r'"((?:[^"]|"")*+)"(?!")')
 
 
 class Parser:
@@ -54,6 +58,8 @@ class Parser:
         self.element = lru_cache(maxsize=50_000)(self._element)
         self.composed_bits = lru_cache(maxsize=50_000)(self._composed_bits)
         self.protected = lru_cache(maxsize=5_000)(self._protected)
+        self.places = lru_cache(maxsize=5_000)(self._places)
+        self.name_bits = log2(1 + len(names.names))
 
     def _element(self, text: str) -> str:
         """What an element after a comma is: place, part (region or country), arrangement, blank or other."""
@@ -88,66 +94,77 @@ class Parser:
                 spans.append((kept[a][0], kept[b - 1][1]))
         return spans
 
-    def dialects(self, text: str) -> list[tuple[tuple[str, ...], bool]]:
-        """Every set of the delimiters that occur, each with and without quoting if there are quotes."""
-        if self.g.is_placeholder(text):
-            return [((), False)]
+    def _places(self, text: str) -> list[tuple[str, int, int]]:
+        """(kind, from, to) of the delimiters outside protected spans, in order."""
         spans = self.protected(text)
-        kinds = []
-        for m in _ANY.finditer(text):
-            if m.lastgroup not in kinds and not any(a <= m.start() < b for a, b in spans):
-                kinds.append(m.lastgroup)
-        # With more kinds than these, the further ones belong to every dialect.
-        free, always = kinds[:MOST_FREE], tuple(kinds[MOST_FREE:])
-        quotes = [False, True] if '"' in text else [False]
-        return [(c + always, q) for n in range(len(free) + 1) for c in combinations(free, n) for q in quotes]
+        return [(m.lastgroup, *m.span()) for m in _ANY.finditer(text) if not any(a <= m.start() < b for a, b in spans)]
+
+    def dialects(self, text: str) -> Iterator[tuple[tuple[str, ...], bool]]:
+        """Every set of the kinds of delimiters that occur, each with and without quoting if there are quotes."""
+        if self.g.is_placeholder(text):
+            yield (), False
+            return
+        kinds = list(dict.fromkeys(k for k, _, _ in self.places(text)))
+        for n in range(len(kinds) + 1):
+            for c in combinations(kinds, n):
+                yield c, False
+                if '"' in text:
+                    yield c, True
 
     def parse(self, text: str, kinds: tuple[str, ...], quoted: bool) -> list[str] | None:
         """Values by one dialect, or null if its quotes do not fit."""
-        spans = self.protected(text)
-        pieces: list[tuple[str, bool, str]] = []  # (text, was quoted, delimiter before it)
-        at, before, n, held = 0, "", len(text), ""
-        start = 0
+        pieces = self._quoted(text, kinds) if quoted else self._plain(text, kinds)
+        return None if pieces is None else self._joined(pieces)
+
+    def _plain(self, text: str, kinds: tuple[str, ...]) -> list[tuple[str, bool, str]]:
+        """(text, was quoted, delimiter before it) of the pieces between the delimiters of a dialect."""
+        pieces, start, before = [], 0, ""
+        for kind, a, b in self.places(text):
+            if kind in kinds:
+                pieces.append((text[start:a], False, before))
+                start, before = b, kind
+        return [*pieces, (text[start:], False, before)]
+
+    def _quoted(self, text: str, kinds: tuple[str, ...]) -> list[tuple[str, bool, str]] | None:
+        """As ``_plain``; a piece that starts with a quote ends at the closing one, which a delimiter must follow."""
+        spans, pieces, at, before = self.protected(text), [], 0, ""
         while True:
-            if quoted and text[at:].lstrip(_BLANK).startswith('"') and not text[start:at].strip(_BLANK):
-                open_ = at + len(text[at:]) - len(text[at:].lstrip(_BLANK))
-                m = re.compile(r'"((?:[^"]|"")*)"(?!")').match(text, open_)
-                if not m:
+            m = _OPEN.match(text, at)
+            if m:
+                whole = _QUOTED.match(text, m.end() - 1)
+                if not whole:
                     return None
-                rest = text[m.end() :].lstrip(_BLANK)
-                nxt = m.end() + len(text[m.end() :]) - len(rest)
-                sep = _ANY.match(text, nxt) if rest else None
-                if rest and (sep is None or sep.lastgroup not in kinds):
+                pieces.append((whole[1].replace('""', '"'), True, before))
+                nxt = _BLANKS.match(text, whole.end()).end()
+                if nxt == len(text):
+                    return pieces
+                sep = _ANY.match(text, nxt)
+                if sep is None or sep.lastgroup not in kinds:
                     return None
-                pieces.append((m[1].replace('""', '"'), True, before))
-                if not rest:
-                    break
-                at = start = sep.end()
-                before = sep.lastgroup
-                continue
-            m = next((m for m in _ANY.finditer(text, at) if m.lastgroup in kinds and not any(a <= m.start() < b for a, b in spans)), None)
-            if m is None:
-                pieces.append((text[start:], False, before))
-                break
-            pieces.append((text[start : m.start()], False, before))
-            at = start = m.end()
-            before = m.lastgroup
+            else:
+                sep = next((x for x in _ANY.finditer(text, at) if x.lastgroup in kinds and not any(a <= x.start() < b for a, b in spans)), None)
+                pieces.append((text[at : sep.start() if sep else len(text)], False, before))
+                if sep is None:
+                    return pieces
+            at, before = sep.end(), sep.lastgroup
+
+    def _joined(self, pieces: list[tuple[str, bool, str]]) -> list[str]:
+        """Values of the pieces: after an unquoted comma only a further place starts a new one."""
         out: list[tuple[str, bool]] = []
         end_of_last = "blank"
         for piece, was_quoted, delimiter in pieces:
             if not piece.strip(_BLANK) and not was_quoted:
-                held = "" if delimiter != "comma" else held
                 if delimiter and delimiter != "comma":
                     end_of_last = "blank"
                 continue
+            kind = self.element(piece)
             if delimiter == "comma" and not was_quoted and out and not out[-1][1] and end_of_last != "blank":
-                kind = self.element(piece)
                 if kind in ("part", "arrangement", "blank") or (kind == "place" and end_of_last == "arrangement"):
                     out[-1] = (out[-1][0] + "," + piece, False)
                     end_of_last = kind if kind == "place" else end_of_last if end_of_last != "arrangement" else "arrangement" if kind == "arrangement" else "place"
                     continue
             out.append((piece, was_quoted))
-            end_of_last = self.element(piece)
+            end_of_last = kind
         return [v for v in (p if q else p.strip(_BLANK) for p, q in out) if v.strip(_BLANK)]
 
     def _composed_bits(self, value: str) -> float:
@@ -156,12 +173,12 @@ class Parser:
         near = [self.g.repair(t) for t in toks]
         bits, covered, places = 0.0, 0, 0
         for a, b, entries, d in self.g.occurrences(toks, near, [0] * len(toks)):
-            bits += 9.0 + 6.0 * d
+            bits += self.name_bits + SLIP_BITS * d
             places += all(e.kind == "place" for e in entries)
             covered += sum(map(len, toks[a:b]))
         for t in toks:
             if t in ARRANGEMENT or t in AROUND:
-                bits += 4.0
+                bits += WORD_BITS
                 covered += len(t)
         # Signs that join a place to its parts are expected in a value, delimiters of any dialect are not.
         spans = self.protected(value)
@@ -175,23 +192,33 @@ class Parser:
 def _candidates(fields: DataFrame, names) -> DataFrame:
     """(field, dialect, signs, overhead, vals, bits): every dialect's parse of each distinct field."""
 
+    columns = ["field", "dialect", "signs", "overhead", "vals", "bits"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = Parser(names.value)
+        rows: list[list] = []
+        held = 0
         for b in batches:
-            rows: list[list] = []
             for text in b["field"]:
                 seen: dict[tuple, list] = {}
                 for kinds, quoted in p.dialects(text):
                     values = p.parse(text, kinds, quoted)
                     if not values:
                         continue
-                    if tuple(values) in seen:  # the same parse by a larger dialect
-                        seen[tuple(values)][2] = len(kinds) + quoted
+                    key = tuple(values)
+                    if key in seen:  # the same parse by a larger dialect
+                        seen[key][2] = len(kinds) + quoted
                         continue
                     over = DECLARE_BITS * (len(kinds) + quoted) + DELIMITER_BITS * (len(values) - 1)
-                    rows.append([text, "+".join(kinds) + ("+quotes" if quoted else ""), len(kinds) + quoted, over, values, [p.composed_bits(v) for v in values]])
-                    seen[tuple(values)] = rows[-1]
-            yield pd.DataFrame(rows, columns=["field", "dialect", "signs", "overhead", "vals", "bits"])
+                    seen[key] = [text, "+".join(kinds) + ("+quotes" if quoted else ""), len(kinds) + quoted, over, values, [p.composed_bits(v) for v in values]]
+                    held += 2 * len(text)
+                rows += seen.values()
+                if held > BATCH_CHARS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
 
     return fields.mapInPandas(run, "field string, dialect string, signs int, overhead double, vals array<string>, bits array<double>")
 
@@ -209,7 +236,8 @@ def split_values(df: DataFrame, key: str, field: str, places: DataFrame, countri
     rows = df.select(F.col(key).alias("__key"), F.col(field).alias("field")).where(F.trim(F.regexp_replace("field", r"[\s\u00a0\u200b\ufeff]+", " ")) != "")
     # Counting distinct fields first keeps a field with a third of all rows one row from here on.
     fields = rows.groupBy("field").agg(F.count(F.lit(1)).alias("rows"))
-    parsed = cut(_candidates(fields.select("field"), names))
+    # The parses are the work: the few bytes of the distinct fields are spread over all cores first.
+    parsed = cut(_candidates(spread(fields.select("field"), "field"), names))
     each = parsed.select("field", "dialect", "overhead", F.size("vals").alias("n"), F.posexplode(F.arrays_zip("vals", "bits")).alias("i", "v"))
     each = each.withColumn("code", F.lower(F.trim("v.vals")))
     # How often the corpus has a value: in the parse by all delimiters, which names each field's parts.
