@@ -9,16 +9,26 @@ integer day arithmetic; only wall times of a zone need the zone's rules.
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Changes of abbreviations are known up to this year; later ones keep the last meaning.
+YEARS_TO = 2038
+
 # Month names as exports of several languages write them, January first.
 MONTHS = {
     "en": "january february march april may june july august september october november december",
     "en short": "jan feb mar apr may jun jul aug sep oct nov dec",
+    "de short": "jan feb mär apr mai jun jul aug sept okt nov dez",
+    "fr short": "janv févr mars avr mai juin juil août sept oct nov déc",
+    "es short": "ene feb mar abr may jun jul ago sept oct nov dic",
+    "pt short": "jan fev mar abr mai jun jul ago set out nov dez",
+    "it short": "gen feb mar apr mag giu lug ago set ott nov dic",
+    "nl short": "jan feb mrt apr mei jun jul aug sep okt nov dec",
+    "pl short": "sty lut mar kwi maj cze lip sie wrz paź lis gru",
     "de": "januar februar märz april mai juni juli august september oktober november dezember",
     "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
     "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
@@ -26,15 +36,16 @@ MONTHS = {
     "it": "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre",
     "nl": "januari februari maart april mei juni juli augustus september oktober november december",
     "pl": "stycznia lutego marca kwietnia maja czerwca lipca sierpnia września października listopada grudnia",
+    "pl as named": "styczeń luty marzec kwiecień maj czerwiec lipiec sierpień wrzesień październik listopad grudzień",
 }
 
-_MONTH_OF = {name: i + 1 for line in MONTHS.values() for i, name in enumerate(line.split())} | {"sept": 9}
+_MONTH_OF = {name: i + 1 for line in MONTHS.values() for i, name in enumerate(line.split())}
 
-_CLOCK = r"(?<h{n}>\d{{1,2}}):(?<mi{n}>\d{{2}})(?::(?<s{n}>\d{{2}})(?:[.,](?<f{n}>\d+))?)?\s*(?<ap{n}>[AaPp]\.?[Mm]\.?)?"
-_ZONE = r"\s*(?<z{n}>[Zz]|[+-]\d{{2}}(?::?\d{{2}})?|\p{{L}}{{2,5}})?\s*(?:\[(?<r{n}>[\w/+\-]+)\])?"
-_TIME = rf"(?:(?:[Tt]|,?\s+){_CLOCK}{_ZONE})?"
-_WEEKDAY = r"(?:\p{{L}}{{2,4}}\.?,?\s+)?"
-_NAME = r"(?<{k}{n}>\p{{L}}{{3,10}})\.?"
+_CLOCK = r"(?<h{n}>\d{{1,2}}):(?<mi{n}>\d{{2}})(?::(?<s{n}>\d{{2}})(?:[.,](?<f{n}>\d+))?)?\s*+(?<ap{n}>[AaPp]\.?[Mm]\.?)?"
+_ZONE = r"\s*+(?<z{n}>[Zz]|[+-]\d{{2}}(?::?\d{{2}})?|\p{{L}}{{2,5}})?\s*+(?:\[(?<r{n}>[\w/+\-]+)\])?"
+_TIME = rf"(?:(?:[Tt]|,?\s++){_CLOCK}{_ZONE})?"
+_WEEKDAY = r"(?:\p{{L}}{{2,4}}\.?,?\s++)?"
+_NAME = r"(?<{k}{n}>\p{{L}}{{3,12}})\.?"
 
 #: One alternative for each form; {n} keeps the names of its groups apart.
 _FORMS = [
@@ -42,23 +53,25 @@ _FORMS = [
     r"(?<y{n}>\d{{4}})(?<m{n}>\d{{2}})(?<d{n}>\d{{2}})(?:[Tt](?<h{n}>\d{{2}})(?<mi{n}>\d{{2}})(?<s{n}>\d{{2}})?(?:[.,](?<f{n}>\d+))?" + _ZONE + ")?",
     r"(?<a{n}>\d{{1,2}})/(?<b{n}>\d{{1,2}})/(?<y{n}>\d{{4}})" + _TIME,
     r"(?<d{n}>\d{{1,2}})[.\-](?<m{n}>\d{{1,2}})[.\-](?<y{n}>\d{{4}})" + _TIME,
-    _WEEKDAY + r"(?<d{n}>\d{{1,2}})\.?(?:\s+de)?[\s-]+" + _NAME.replace("{k}", "k") + r"(?:\s+de)?[\s-]+(?<y{n}>\d{{4}})" + _TIME,
-    _WEEKDAY + _NAME.replace("{k}", "k") + r"\s+(?<d{n}>\d{{1,2}}),?\s+(?<y{n}>\d{{4}})" + _TIME,
-    _NAME.replace("{k}", "k") + r"(?:\s+de)?,?\s+(?<y{n}>\d{{4}})",
+    _WEEKDAY + r"(?<d{n}>\d{{1,2}})\.?(?:\s++de)?[\s-]++" + _NAME.replace("{k}", "k") + r"(?:\s++de)?[\s-]++(?<y{n}>\d{{4}})" + _TIME,
+    _WEEKDAY + _NAME.replace("{k}", "k") + r"\s++(?<d{n}>\d{{1,2}}),?\s++(?<y{n}>\d{{4}})" + _TIME,
+    _NAME.replace("{k}", "k") + r"(?:\s++de)?,?\s++(?<y{n}>\d{{4}})",
+    r"(?<y{n}>\d{{4}})年(?<m{n}>\d{{1,2}})月(?:(?<d{n}>\d{{1,2}})日" + _TIME + ")?",
     r"(?<m{n}>\d{{1,2}})[/.](?<y{n}>\d{{4}})",
     r"(?<y{n}>\d{{4}})[-/.](?<m{n}>\d{{1,2}})",
     r"(?<y{n}>\d{{4}})",
     r"(?<e{n}>\d{{9,19}})",
 ]
 
-#: Components in the order in which they come out.
+#: What stands before each component in the replacement, and the components in their order.
+MARK = "\x01"
 PARTS = ["y", "m", "d", "a", "b", "k", "h", "mi", "s", "f", "ap", "z", "r", "e"]
 
 
 def _alternation() -> tuple[str, str]:
     forms = [f.replace("{n}", f"{i}x").replace("{{", "{").replace("}}", "}") for i, f in enumerate(_FORMS)]
-    whole = r"^[\s\u00a0]*(?:" + "|".join(f"(?:{f})" for f in forms) + r")[\s\u00a0]*$"
-    out = "\x01".join("".join(f"${{{p}{i}x}}" for i, f in enumerate(forms) if f"<{p}{i}x>" in f) for p in PARTS)
+    whole = r"^[\s\u00a0]*+(?:" + "|".join(f"(?:{f})" for f in forms) + r")[\s\u00a0]*+$"
+    out = MARK + MARK.join("".join(f"${{{p}{i}x}}" for i, f in enumerate(forms) if f"<{p}{i}x>" in f) for p in PARTS)
     return whole, out
 
 
@@ -66,24 +79,44 @@ PATTERN, REPLACEMENT = _alternation()
 
 
 @lru_cache(maxsize=1)
-def _zones() -> list[tuple[str, dict[str, int]]]:
-    """IANA zones with the offsets, in seconds, that their abbreviations stand for."""
+def _zones() -> list[tuple[str, dict[str, list[tuple[int, int]]]]]:
+    """IANA zones with what their abbreviations stand for: (from, offset) in seconds, in order of time.
+
+    An abbreviation that always meant one offset has one entry. Where a zone
+    changed its meaning, the instant of the change is found to the second.
+    """
     from zoneinfo import ZoneInfo, available_timezones
 
+    first, month = datetime(1970, 1, 1, tzinfo=timezone.utc), 2_629_746
+    samples = [first + timedelta(seconds=month * k) for k in range(12 * (YEARS_TO - 1970))]
     out = []
     for name in sorted(available_timezones()):
-        zone, found = ZoneInfo(name), {}
-        for year in range(2000, 2031):
-            for month in (1, 4, 7, 10):
-                at = datetime(year, month, 1, tzinfo=timezone.utc).astimezone(zone)
-                found[at.tzname().upper()] = int(at.utcoffset().total_seconds())
-        out.append((name, found))
+        zone = ZoneInfo(name)
+
+        def said(at, zone=zone):
+            local = at.astimezone(zone)
+            return local.tzname().upper(), int(local.utcoffset().total_seconds())
+
+        runs: dict[str, list[tuple[int, int]]] = {}
+        before: dict[str, datetime] = {}
+        for at in samples:
+            short, offset = said(at)
+            known = runs.setdefault(short, [])
+            if not known or known[-1][1] != offset:
+                lo, hi = before.get(short, at), at
+                while hi - lo > timedelta(seconds=1):
+                    mid = lo + (hi - lo) // 2
+                    mid = mid.replace(microsecond=0) if mid.replace(microsecond=0) > lo else mid
+                    lo, hi = (lo, mid) if said(mid) == (short, offset) else (mid, hi)
+                known.append((int((hi - first).total_seconds()) if known else -(2**60), offset))
+            before[short] = at
+        out.append((name, runs))
     return out
 
 
 def zone_table(spark: SparkSession) -> DataFrame:
     """(zone, abbreviations): some 600 rows, as many as IANA has zones."""
-    return spark.createDataFrame(_zones(), "zone string, abbreviations map<string,int>")
+    return spark.createDataFrame(_zones(), "zone string, abbreviations map<string,array<struct<since:long,offset:int>>>")
 
 
 def _int(c: Column) -> Column:
@@ -114,9 +147,10 @@ def parse_instants(df: DataFrame, value: str, zone: str, day_first: str, out: st
     theirs = zones.select(F.col("zone").alias("__named"))
     month_of = F.create_map(*[F.lit(x) for kv in _MONTH_OF.items() for x in kv])
     cols = df.columns
-    text = F.when(F.length(value) <= 80, F.col(value))  # no form is as long; longer texts name no instant
-    df = df.withColumn("__p", F.when(text.rlike(PATTERN), F.split(F.regexp_replace(text, PATTERN, REPLACEMENT), "\x01")))
-    part = {k: F.col("__p")[i] for i, k in enumerate(PARTS)}
+    # The pattern runs once: what it replaced starts with the mark, all else stays as it was.
+    df = df.withColumn("__p", F.regexp_replace(value, PATTERN, REPLACEMENT))
+    df = df.withColumn("__p", F.when(F.col("__p").startswith(MARK) & ~F.contains(F.col(value), F.lit(MARK)), F.split("__p", MARK)))
+    part = {k: F.col("__p")[i + 1] for i, k in enumerate(PARTS)}
     first = F.coalesce(F.col(day_first), F.lit(True))
     a, b = _int(part["a"]), _int(part["b"])
     df = df.select(
@@ -141,7 +175,11 @@ def parse_instants(df: DataFrame, value: str, zone: str, day_first: str, out: st
     hours, minutes = F.substring(z, 2, 2).cast("int"), F.coalesce(F.nullif(F.regexp_extract(z, r"(\d{2})$", 1), F.lit("")).cast("int"), F.lit(0))
     minutes = F.when(F.length(z) > 3, minutes).otherwise(0)
     signed = F.when((hours <= 18) & (minutes <= 59), (hours * 60 + minutes) * 60 * F.when(F.substring(z, 1, 1) == "-", -1).otherwise(1))
-    offset = F.when(z.isin("Z", "UTC", "GMT", "UT"), 0).when(z.rlike(r"^[+-]"), signed).when(z != "", F.col("__short")[z])
+    # Of an abbreviation's meanings the last one that had begun at the instant it gives.
+    seconds = F.floor(wall / 1_000_000)
+    meant = F.col("__short")[z]
+    begun = F.filter(meant, lambda x: seconds - x["offset"] >= x["since"])
+    offset = F.when(z.isin("Z", "UTC", "GMT", "UT"), 0).when(z.rlike(r"^[+-]"), signed).when(z != "", F.get(begun, F.size(begun) - 1)["offset"])
     place = F.when(F.col("__r").isNotNull(), F.col("__named")).otherwise(F.coalesce(F.col("__own"), F.lit("UTC")))
     at_place = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), place))
     digits = F.length("__e")

@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import accumulate, combinations
 from math import log2
 
 import pandas as pd
@@ -59,17 +59,17 @@ class Parser:
         self.composed_bits = lru_cache(maxsize=50_000)(self._composed_bits)
         self.protected = lru_cache(maxsize=5_000)(self._protected)
         self.places = lru_cache(maxsize=5_000)(self._places)
+        self.hits = lru_cache(maxsize=50_000)(self._hits)
         self.name_bits = log2(1 + len(names.names))
 
     def _element(self, text: str) -> str:
         """What an element after a comma is: place, part (region or country), arrangement, blank or other."""
-        toks = tokens(text)
+        toks, hits = self.hits(text.strip(_BLANK))
         if not toks:
             return "blank"
         if self.g.is_placeholder(text) or all(t in ARRANGEMENT or t in AROUND or t.isdigit() for t in toks):
             return "arrangement"
-        near = [self.g.repair(t) for t in toks]
-        kinds = [{e.kind for e in hit[2]} for hit in self.g.occurrences(toks, near, [0] * len(toks))]
+        kinds = [{e.kind for e in hit[2]} for hit in hits]
         if not kinds:
             return "other"
         return "part" if not any("place" in k and not k & {"country", "region"} for k in kinds) and "place" not in kinds[0] else "place"
@@ -96,8 +96,22 @@ class Parser:
 
     def _places(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, from, to) of the delimiters outside protected spans, in order."""
-        spans = self.protected(text)
-        return [(m.lastgroup, *m.span()) for m in _ANY.finditer(text) if not any(a <= m.start() < b for a, b in spans)]
+        found = [(m.lastgroup, *m.span()) for m in _ANY.finditer(text)]
+        if not found:
+            return []
+        spans, out, i = sorted(self.protected(text)), [], 0
+        ends = list(accumulate((b for _, b in spans), max))
+        for kind, a, b in found:  # spans that start before, the furthest end of which tells
+            while i < len(spans) and spans[i][0] <= a:
+                i += 1
+            if not i or ends[i - 1] <= a:
+                out.append((kind, a, b))
+        return out
+
+    def _hits(self, text: str) -> tuple[list[str], list]:
+        """Tokens of a text and the listed names among them."""
+        toks = tokens(text)
+        return toks, self.g.occurrences(toks, [self.g.repair(t) for t in toks], [0] * len(toks))
 
     def dialects(self, text: str) -> Iterator[tuple[tuple[str, ...], bool]]:
         """Every set of the kinds of delimiters that occur, each with and without quoting if there are quotes."""
@@ -169,10 +183,9 @@ class Parser:
 
     def _composed_bits(self, value: str) -> float:
         """Bits of a value by its composition: names from the lists, known words, and signs that nothing explains."""
-        toks = tokens(value)
-        near = [self.g.repair(t) for t in toks]
+        toks, hits = self.hits(value)
         bits, covered, places = 0.0, 0, 0
-        for a, b, entries, d in self.g.occurrences(toks, near, [0] * len(toks)):
+        for a, b, entries, d in hits:
             bits += self.name_bits + SLIP_BITS * d
             places += all(e.kind == "place" for e in entries)
             covered += sum(map(len, toks[a:b]))
@@ -181,8 +194,9 @@ class Parser:
                 bits += WORD_BITS
                 covered += len(t)
         # Signs that join a place to its parts are expected in a value, delimiters of any dialect are not.
-        spans = self.protected(value)
-        odd = sum(len(m[0].strip()) or 1 for m in _ANY.finditer(value) if m.lastgroup != "comma" and not any(a <= m.start() < b for a, b in spans))
+        inner = [m for m in _ANY.finditer(value) if m.lastgroup != "comma"]
+        spans = self.protected(value) if inner else []
+        odd = sum(len(m[0].strip()) or 1 for m in inner if not any(a <= m.start() < b for a, b in spans))
         joints = len(re.findall(r"[,()]|[-–—]", value))
         plain = len(re.sub(r"[\s,()\-–—]", "", value)) - covered
         odd += max(places - 1, 0)  # a second place is as odd as a delimiter

@@ -38,6 +38,8 @@ def test_values(spark):
         "; Postem;; Triskekos ;": ["Postem", "Triskekos"],
         "Postem; or Triskekos": ["Postem", "Triskekos"],
         "Postem, and Triskekos": ["Postem", "Triskekos"],
+        "Postem; Triskekos (HQ), and Sosulaedaelt": ["Postem", "Triskekos (HQ)", "Sosulaedaelt"],
+        "Triskekos, or Postem": ["Triskekos", "Postem"],
         "Remote - Peifenia": ["Remote - Peifenia"],
         "Remote, Postem": ["Remote, Postem"],
         "Titheik-Ost | Postem": ["Titheik-Ost", "Postem"],
@@ -55,6 +57,18 @@ def test_repeated_long_and_empty(spark):
     assert split_values(df, "k", "f", spark.createDataFrame(P, PLACES), spark.createDataFrame([], COUNTRIES)).count() == 0
 
 
+def test_eleven_kinds_of_delimiters(spark):
+    """However many kinds a field has, the reading without a split and every other set is scored."""
+    kinds = ["\n", ";", "|", "•", "·", "/", " + ", " and ", " or ", "&", ","]
+    text = "Postem" + "".join(f"{k}{'Triskekos' if i % 2 else 'Postem'}" for i, k in enumerate(kinds[:-1], 1))
+    g = Gazetteer([dict(zip("geo_id name region country_code population other_names".split(), p)) for p in P], [dict(zip("code c1 population other_names".split(), c)) for c in C])
+    p = Parser(g)
+    sets = [k for k, _ in p.dialects("a\nb;c|d•e·f/g + h and i or j&k,l")]
+    assert len(sets) == 2**11 and () in sets
+    assert p.parse(text, (), False) == [text]
+    assert split(spark, [text])[0] == ["Postem"] + ["Triskekos", "Postem"] * 5
+
+
 def test_slips():
     assert slips("sosulaedaelt", "sosluaedaelt", 2) == 1 and slips("abc", "abcd", 1) == 1 and slips("abcdef", "uvwxyz", 2) == 3
     g = Gazetteer([dict(zip("geo_id name region country_code population other_names".split(), p)) for p in P], [dict(zip("code c1 population other_names".split(), c)) for c in C])

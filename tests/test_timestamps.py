@@ -43,12 +43,24 @@ def test_forms(spark):
         ("12 Sep 2009", None, None, datetime(2009, 9, 12, tzinfo=UTC)),
         ("07/2013", None, None, datetime(2013, 7, 1, tzinfo=UTC)),
         ("2014", None, None, datetime(2014, 1, 1, tzinfo=UTC)),
+        (" " * 10_000 + "2024-06-01" + "\u00a0" * 10_000, None, None, datetime(2024, 6, 1, tzinfo=UTC)),
+        ("2024-06-01T10:00:00." + "123456789" * 500 + "Z", None, None, datetime(2024, 6, 1, 10, 0, 0, 123456, tzinfo=UTC)),
+        ("2012-06-01 12:00 MSK", "Europe/Moscow", True, datetime(2012, 6, 1, 8, tzinfo=UTC)),
+        ("2009-01-01 12:00 MSK", "Europe/Moscow", True, datetime(2009, 1, 1, 9, tzinfo=UTC)),
+        ("2024-06-01 12:00 MSK", "Europe/Moscow", True, datetime(2024, 6, 1, 9, tzinfo=UTC)),
+        ("2017-01-01 12:00 KST", "Asia/Pyongyang", True, datetime(2017, 1, 1, 3, 30, tzinfo=UTC)),
+        ("2020-01-01 12:00 KST", "Asia/Pyongyang", True, datetime(2020, 1, 1, 3, tzinfo=UTC)),
+        ("2050-01-01 12:00 EST", "America/New_York", True, datetime(2050, 1, 1, 17, tzinfo=UTC)),
+        ("2024-07-01 12:00 EST", "America/New_York", True, datetime(2024, 7, 1, 17, tzinfo=UTC)),
+        ("févr. 2021", None, None, datetime(2021, 2, 1, tzinfo=UTC)), ("Dez. 2020", None, None, datetime(2020, 12, 1, tzinfo=UTC)), ("ott 2019", None, None, datetime(2019, 10, 1, tzinfo=UTC)),
+        ("5 października 2018", None, None, datetime(2018, 10, 5, tzinfo=UTC)), ("paź 2018", None, None, datetime(2018, 10, 1, tzinfo=UTC)), ("2021年3月", None, None, datetime(2021, 3, 1, tzinfo=UTC)),
     ]
     assert parse(spark, [w[:3] for w in want]) == [us(w[3]) for w in want]
 
 
 def test_no_instants(spark):
-    bad = ["", " ", None, "n/a", "yesterday", "0000-00-00", "2025-02-29", "31/04/2024", "2024-13-01", "2024-01-01 25:00", "2024-01-01 13:00 PM", "Foo 2024", "2024-01-01[No/Zone]", "x" * 100_000]
+    bad = ["", " ", None, "n/a", "yesterday", "0000-00-00", "2025-02-29", "31/04/2024", "2024-13-01", "2024-01-01 25:00", "2024-01-01 13:00 PM", "Foo 2024", "2024-01-01[No/Zone]", "x" * 100_000, "2024-01-01 10:00" + " " * 50_000 + "x",
+           " " * 50_000, "\x012024", "2024-06-01 12:00 XYZ", "2024-06-01 12:00 EST"]
     assert parse(spark, [(b, "UTC", True) for b in bad]) == [None] * len(bad)
 
 
@@ -63,6 +75,17 @@ def test_wall_times_of_zones(spark):
     assert parse(spark, rows) == want
 
 
+def test_month_names_are_told_apart():
+    from lathe.functions.timestamps import MONTHS
+
+    seen = {}
+    for line in MONTHS.values():
+        names = line.split()
+        assert len(names) == 12
+        for i, n in enumerate(names):
+            assert seen.setdefault(n, i) == i
+
+
 def test_clashing_columns_and_empty(spark):
     df = spark.createDataFrame([("2024", "UTC", True, "x")], "v string, zone string, first boolean, abbreviations string")
     out = parse_instants(df, "v", "zone", "first")
