@@ -67,7 +67,25 @@ def _patterns():
     measure = re.compile(
         rf"{_NOT_INSIDE}(?P<n1>{count})(?:\s?(?:-|–|—|to)\s?(?P<n2>{count}))?\s?\+?\s?-?\s?(?P<u>{'|'.join(sorted(units, key=len, reverse=True))})\b(?!\s*/|²|³|\^)", re.IGNORECASE
     )
-    return money, of_word, units, measure
+    return money, of_word, units, measure, re.compile(cur, re.IGNORECASE)
+
+
+#: Characters around a currency within which its amount must stand; no amount is as long.
+_NEAR = 200
+
+
+def _money_in(text: str):
+    """Matches of the money pattern, looked for around currencies only."""
+    money, sign = _patterns()[0], _patterns()[4]
+    lo, hi = 0, -1
+    for m in sign.finditer(text):
+        if m.start() - _NEAR > hi:
+            if hi > 0:
+                yield from money.finditer(text, lo, hi)
+            lo = max(0, m.start() - _NEAR)
+        hi = m.end() + _NEAR
+    if hi > 0:
+        yield from money.finditer(text, lo, hi)
 
 
 SCALES = {"k": 1e3, "thousand": 1e3, "lakh": 1e5}
@@ -81,9 +99,9 @@ def amounts(text: str | None, cues_needed: bool) -> list[tuple[str | None, str |
     """
     if not text:
         return []
-    money, of_word, _, _ = _patterns()
+    of_word = _patterns()[1]
     out = []
-    for m in money.finditer(text):
+    for m in _money_in(text):
         signs = [m[c] for c in ("c1", "c2", "c3", "c4") if m[c]]
         if not signs:
             continue
@@ -110,7 +128,7 @@ def measures(text: str | None) -> list[tuple[str, float, float]]:
     """(quantity, lo, hi) of lifted weights (g), distances (m) and required experience (months)."""
     if not text:
         return []
-    _, _, units, measure = _patterns()
+    _, _, units, measure, _ = _patterns()
     out = []
     for m in measure.finditer(text):
         quantity, factor = units[m["u"].lower()]

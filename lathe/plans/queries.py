@@ -21,6 +21,7 @@ def p5_found(spark, d):
 QUERIES = {
     "p3_found": quantities.found,
     "p3_review": quantities.review,
+    "p3_predictions": quantities.predictions,
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": splitting.found,

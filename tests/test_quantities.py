@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 from lathe.functions.quantities import amounts, measures
-from lathe.operators.quantities import fit_unit, posting_quantities, predict_unit, quantities
+from lathe.operators.quantities import CONFIDENT, monotone, quantities, unit_predictions
 
 REC = (
     "row_id long, source struct<kind:string,instance:string>, employment_type string, workplace_type string, "
@@ -72,19 +74,82 @@ def test_empty_tables(spark):
     assert quantities(spark.createDataFrame([], REC), spark.createDataFrame([], ASH)).count() == 0
 
 
-def test_missing_interval_is_predicted(spark):
-    """Held-out accuracy: intervals are hidden from a fifth of the rows."""
-    r, unit = random.Random(3), {"hour": 40, "day": 350, "week": 1600, "month": 6500, "year": 80000}
-    ash = []
-    for i in range(1500):
-        k = r.choice(list(unit))
-        ash.append((i, None, None, f"Offer: USD {round(unit[k] * r.uniform(0.7, 1.3))} per {k}.", 1))
-    rows = posting_quantities(spark.createDataFrame(ash, ASH)).cache()
-    from pyspark.sql import functions as F
-
-    hidden = rows.where("row_id % 5 = 0").withColumn("true", F.col("interval"))
-    fitted = fit_unit(rows.where("row_id % 5 <> 0"), "interval")
-    out = predict_unit(hidden.withColumn("interval", F.lit(None).cast("string")).withColumn("confidence", F.lit(1.0)), "interval", fitted)
-    good = out.alias("o").join(hidden.alias("h"), "row_id").select((F.col("o.interval") == F.col("h.true")).cast("int").alias("ok"), "o.confidence").collect()
-    assert sum(x.ok for x in good) / len(good) > 0.97
-    assert all(0 < x.confidence <= 1 for x in good)
+def records(spark, n, seed, hide):
+    """Pay in overlapping magnitudes; a fifth of the rows lacks the unit that ``hide`` names, and nothing else states it."""
+    r, unit = random.Random(seed), {"hour": (15, 200), "day": (120, 1200), "week": (600, 5000), "month": (2000, 20000), "year": (9000, 160000)}
+    rows, true = [], {}
+    for i in range(n):
+        k, cur = r.choice(list(unit)), r.choice(["USD", "INR", "PLN"])
+        lo = round(r.uniform(*unit[k])) * {"USD": 1, "INR": 40, "PLN": 3}[cur]
+        gone = i % 5 == 0
+        true[i] = k if hide == "interval" else cur
+        rows.append((i, ("ashby", "in" if cur == "INR" else "x"), None, None, (None, [("salary", None, None if gone and hide == "currency" else cur, float(lo), lo * 1.2, None if gone and hide == "interval" else k)]), "t"))
+    return spark.createDataFrame(rows, REC), true
+
+
+def test_missing_interval_is_predicted_or_reviewed(spark):
+    """Hidden units of magnitudes that overlap: confident predictions are right nine times in ten, and the others are reviewed."""
+    recs, true = records(spark, 3000, 3, "interval")
+    none = spark.createDataFrame([], ASH)
+    got = {r.row_id: r for r in unit_predictions(recs, none).where("target = 'interval'").collect()}
+    assert sorted(got) == [i for i in range(3000) if i % 5 == 0] and all(r.stated is None for r in got.values())
+    right = {i: r.predicted == true[i] for i, r in got.items()}
+    sure = [i for i, r in got.items() if r.probability >= CONFIDENT]
+    assert sum(right[i] for i in sure) / len(sure) >= 0.9 and len(sure) > 200
+    # Calibration: mean probability and accuracy agree over all predictions.
+    assert abs(sum(r.probability for r in got.values()) / len(got) - sum(right.values()) / len(right)) < 0.06
+    out = quantities(recs, none).collect()
+    assert len(out) == 3000 and {r.row_id for r in out if r.review} == set(got) - set(sure) and len(got) - len(sure) > 20
+    assert all(r.confidence == 1 for r in out if r.row_id % 5)
+
+
+def test_missing_currency_by_source(spark):
+    recs, true = records(spark, 2000, 4, "currency")
+    got = {r.row_id: r for r in unit_predictions(recs, spark.createDataFrame([], ASH)).where("target = 'currency'").collect()}
+    of_source = [i for i in got if true[i] == "INR"]
+    assert sum(got[i].predicted == "INR" for i in of_source) / len(of_source) > 0.97
+
+
+def test_nothing_missing_fits_nothing(spark, monkeypatch):
+    from lathe.operators import quantities as q
+
+    recs = spark.createDataFrame([(i, ("ashby", "x"), None, None, ("$50k per year", [("salary", None, "USD", 50000.0, 50000.0, "year")]), "t") for i in range(20)], REC)
+    monkeypatch.setattr(q, "fit_unit", lambda *a, **k: 1 / 0)
+    assert q.quantities(recs, spark.createDataFrame([], ASH)).where("NOT review").count() == 20
+
+
+def test_wording_overrides_a_prediction(spark):
+    rows = [(i, ("ashby", "x"), None, None, (None, [("salary", None, "USD", 50000.0 + i, 60000.0, "year")]), "t") for i in range(200)]
+    rows += [(200 + i, ("ashby", "x"), None, None, (None, [("salary", None, "USD", 30.0 + i, 40.0, "hour")]), "t") for i in range(200)]
+    rows += [(400, ("ashby", "x"), None, None, ("$30 - $40 per day", [("salary", None, None, 30.0, 40.0, None)]), "t")]
+    recs = spark.createDataFrame(rows, REC)
+    none = spark.createDataFrame([], ASH)
+    r = quantities(recs, none).where("row_id = 400").first()
+    assert (r.unit, r.lo, r.hi, r.review) == ("USD", 30 * 260 * 100, 40 * 260 * 100, False)
+    p = unit_predictions(recs, none).where("row_id = 400 AND target = 'interval'").first()
+    assert (p.predicted, p.stated) == ("hour", "day")
+
+
+def test_hidden_scale(spark):
+    """Thousands that not all labels name: where few are unnamed they are converted, where many are they are doubted."""
+    for hidden in (60, 9):
+        r = random.Random(8)
+        rows = []
+        for i in range(1500):
+            k = i % 3 == 0
+            lo = float(r.randint(40, 200) * (1 if k else 1000))
+            rows.append((i, ("ashby", "x"), None, None, (None, [("salary", "in thousands" if k and i % hidden else None, "USD", lo, lo, "year")]), "t"))
+        out = quantities(spark.createDataFrame(rows, REC), spark.createDataFrame([], ASH)).collect()
+        assert len(out) == 1500 and not any(x.review for x in out)
+        assert all((4_000_000 <= x.lo <= 20_000_000) != (x.doubt and x.row_id % hidden == 0) for x in out)
+        assert any(x.doubt for x in out) == (hidden == 9)
+
+
+def test_isotonic_fit():
+    """Bins of uneven success come out in order, each near its own rate."""
+    p = np.concatenate([np.full(n, v) for n, v in ((10, 0.1), (40, 0.3), (80, 0.5), (200, 0.7), (100, 0.9))])
+    y = np.concatenate([np.arange(n) < k for n, k in ((10, 10), (40, 20), (80, 40), (200, 120), (100, 80))])
+    start, rate = monotone(p, y)
+    assert rate == sorted(rate) and start == [0.1, 0.7, 0.9]
+    assert abs(rate[0] - 70 / 130) < 0.01 and abs(rate[1] - 0.6) < 0.01 and abs(rate[2] - 0.8) < 0.01
+    assert monotone(np.array([]), np.array([])) == ([], [])
