@@ -131,7 +131,7 @@ def test_wording_overrides_a_prediction(spark):
 
 
 def test_hidden_scale(spark):
-    """Thousands that not all labels name: where few are unnamed they are converted, where many are they are doubted."""
+    """Thousands that not all labels name: where few are unnamed some are converted, and nearly all others doubted."""
     for hidden in (60, 9):
         r = random.Random(8)
         rows = []
@@ -140,9 +140,12 @@ def test_hidden_scale(spark):
             lo = float(r.randint(40, 200) * (1 if k else 1000))
             rows.append((i, ("ashby", "x"), None, None, (None, [("salary", "in thousands" if k and i % hidden else None, "USD", lo, lo, "year")]), "t"))
         out = quantities(spark.createDataFrame(rows, REC), spark.createDataFrame([], ASH)).collect()
+        gone = [x for x in out if x.row_id % 3 == 0 and x.row_id % hidden == 0]
+        whole = [4_000_000 <= x.lo <= 20_000_000 for x in gone]
         assert len(out) == 1500 and not any(x.review for x in out)
-        assert all((4_000_000 <= x.lo <= 20_000_000) != (x.doubt and x.row_id % hidden == 0) for x in out)
-        assert any(x.doubt for x in out) == (hidden == 9)
+        assert all(4_000_000 <= x.lo <= 20_000_000 and not x.doubt for x in out if x not in gone)
+        assert sum(w or x.doubt for w, x in zip(whole, gone, strict=True)) >= 0.9 * len(gone)
+        assert any(whole) == (hidden == 60)
 
 
 def test_isotonic_fit():
