@@ -105,6 +105,14 @@ def html_escape(c: Column | str) -> Column:
     return out
 
 
+def like_escape(c: Column | str) -> Column:
+    """A text as a LIKE pattern that means just itself, with backslashes as escapes."""
+    out = _c(c)
+    for sign in ("\\", "%", "_"):
+        out = F.replace(out, F.lit(sign), F.lit("\\" + sign))
+    return out
+
+
 def grouped_number(c: Column | str) -> Column:
     """Whole amounts with commas between thousands, others with two decimals."""
     c = _c(c)

@@ -5,21 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lathe.session import cut, growing
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, values: list[str]) -> DataFrame:
+#: Share of the rows from which a key is hot; so at most 64 keys are.
+HOT_SHARE = 1 / 64
+#: Rows that no task minds, so fewer are never hot.
+LEAST_HOT = 1000
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, values: list[str], slice_by=None) -> DataFrame:
     """Left rows with the values of the latest right row of the key at or before them.
 
-    One union and one window, so each side is shuffled once and sorted once; of
-    right rows at the same time the greatest values win. Left rows without an
-    earlier right row get nulls. Null keys match each other.
+    One union, shuffled and sorted once by key and slice (days of the time,
+    unless ``slice_by`` makes other slices of a column), so a hot key is spread
+    over its slices; what a slice starts with is carried from the last right row
+    of the slices before, one row each. Of right rows at the same time the
+    greatest values win. Left rows without an earlier right row, or without a
+    time, get nulls. Null keys match each other.
     """
     cols = left.columns
+    whole = dict(left.dtypes)[at] in ("int", "bigint", "double", "float")
+    cut_by = slice_by or ((lambda c: F.floor(c / 86_400)) if whole else F.to_date)
     packed = F.struct(*[F.col(v) for v in values])
-    l = left.withColumns({"__at": F.col(at), "__side": F.lit(1), "__v": F.lit(None).cast(right.select(packed).schema[0].dataType), "__row": F.struct(*cols)}).select(*keys, "__at", "__side", "__v", "__row")  # noqa: E741
+    kind = right.select(packed).schema[0].dataType
+    l = left.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__v"), F.struct(*cols).alias("__row"))  # noqa: E741
     r = right.where(F.col(right_at).isNotNull()).groupBy(*keys, F.col(right_at).alias("__at")).agg(F.max(packed).alias("__v"))
-    r = r.select(*keys, "__at", F.lit(0).alias("__side"), "__v", F.lit(None).cast(l.schema["__row"].dataType).alias("__row"))
-    w = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    out = r.unionByName(l).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__side = 1")
+    both = r.select(*keys, "__at", F.lit(0).alias("__side"), "__v", F.lit(None).cast(l.schema["__row"].dataType).alias("__row")).unionByName(l).withColumn("__slice", cut_by(F.col("__at")))
+    ends = both.groupBy(*keys, "__slice").agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__at"))).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+    on = [F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in [*keys, "__slice"]]
+    placed = both.alias("b").join(ends.alias("e"), on).select("b.*", "e.__carried")
+    w = Window.partitionBy(*keys, "__slice").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.when(F.col("__at").isNotNull(), F.coalesce(F.last("__v", ignorenulls=True).over(w), F.col("__carried")))
+    out = placed.withColumn("__v", found).where("__side = 1")
     return out.select("__row.*", *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
@@ -50,3 +69,22 @@ def salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16,
     l = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns if not c.startswith("__")]), F.lit(salts)).cast("int"))  # noqa: E741
     r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [*keys, "__salt"], how).drop("__salt")
+
+
+def skewed(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """Equality join with a side of one row a key, in which no key is one task's work.
+
+    ``n`` is the column of ``right`` with the number of left rows of a key. Keys
+    with more than ``HOT_SHARE`` of them, 64 at most, are joined by broadcast where
+    their rows lie; all others sort and merge. ``how`` is inner or left. The
+    right side is written once; a left side with hot keys is read twice, so it
+    should be a table or a checkpoint.
+    """
+    right = cut(right)
+    total, top = right.agg(F.sum(n), F.max(n)).first()
+    least = max((total or 0) * HOT_SHARE, LEAST_HOT)
+    if not total or top <= least:
+        return left.join(growing(right), keys, how)
+    hot = right.where(F.col(n) > least)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(growing(right.where(F.col(n) <= least)), keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)  # at most 1 / HOT_SHARE rows are broadcast

@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lathe.session import previous_within
 
-def plan_scan(stored: DataFrame, incoming: DataFrame, complete: Column | None = None, keep: DataFrame | None = None) -> DataFrame:
-    """(job_id, action, changed_fields) of one full-outer join on the job id.
 
-    ``stored`` has job_id, status, fingerprint; ``incoming`` has job_id and
-    fingerprint, each once. Actions: new, reopened, updated, unchanged, closed
-    (open, absent from a complete scan and not in ``keep``), kept (absent
-    otherwise). Null fingerprints are values of their own.
+def plan_scan(stored: DataFrame, incoming: DataFrame, closes: Column | None = None, keep: DataFrame | None = None, keys: tuple[str, ...] = ("job_id",)) -> DataFrame:
+    """(keys, action) of one full-outer join on the keys.
+
+    ``stored`` has the keys, status, fingerprint and content_fingerprint,
+    ``incoming`` the keys and both digests, each key once; in a table without
+    content digests the fingerprints stand for them, a null one as any other. Actions: new; reopened (closed
+    before); updated (another content); refreshed (same content, another
+    fingerprint, or a content digest learned first); unchanged; closed (open,
+    absent, ``closes`` holds and not in ``keep``); kept (absent otherwise).
+    A stored row without a content digest takes the incoming one as its first.
     """
-    closing = F.lit(True) if complete is None else complete
-    s, i = stored.alias("s"), incoming.alias("i")
-    both = s.join(i, F.col("s.job_id") == F.col("i.job_id"), "full_outer")
-    job = F.coalesce(F.col("s.job_id"), F.col("i.job_id")).alias("job_id")
-    rows = both.select(job, F.col("s.job_id").isNotNull().alias("was"), F.col("i.job_id").isNotNull().alias("is"), F.col("s.status").alias("status"), F.col("s.fingerprint").eqNullSafe(F.col("i.fingerprint")).alias("same"))
+    keys = list(keys)
+    digests = "content_fingerprint" in stored.columns
+    content = lambda df: F.col("content_fingerprint") if digests else F.coalesce("fingerprint", F.lit(""))
+    s = stored.select(*keys, F.struct("status", "fingerprint", content(stored).alias("content")).alias("s"))
+    i = incoming.select(*keys, F.struct("fingerprint", content(incoming).alias("content")).alias("i"))
+    rows = s.join(i, keys, "full_outer")
     if keep is not None:
-        rows = rows.join(keep.select("job_id", F.lit(True).alias("held")).distinct(), "job_id", "left")
+        rows = rows.join(keep.select(*keys, F.lit(True).alias("held")).distinct(), keys, "left")
     else:
         rows = rows.withColumn("held", F.lit(None).cast("boolean"))
+    closing = F.lit(True) if closes is None else F.coalesce(closes, F.lit(False))
+    was, now = F.col("s").isNotNull(), F.col("i").isNotNull()
+    same = F.col("s.content").isNull() | F.col("s.content").eqNullSafe(F.col("i.content"))
     action = (
-        F.when(~F.col("was"), "new").when(F.col("is") & (F.col("status") == "closed"), "reopened").when(F.col("is") & ~F.col("same"), "updated").when(F.col("is"), "unchanged")
-        .when((F.col("status") == "open") & closing & F.col("held").isNull(), "closed").otherwise("kept")
+        F.when(~was, "new").when(now & (F.col("s.status") == "closed"), "reopened").when(now & ~same, "updated")
+        .when(now & (~F.col("s.fingerprint").eqNullSafe(F.col("i.fingerprint")) | F.col("s.content").isNull()), "refreshed").when(now, "unchanged")
+        .when((F.col("s.status") == "open") & closing & F.col("held").isNull(), "closed").otherwise("kept")
     )
-    return rows.select("job_id", action.alias("action"))
+    return rows.select(*keys, action.alias("action"))
 
 
 def latest_per(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
@@ -42,21 +52,12 @@ def latest_and_latest_successful(df: DataFrame, key: str, at: str, tie: str, ok:
     return df.groupBy(key).agg(F.max_by(value, order).alias("latest"), F.max_by(value, F.when(ok, order)).alias("latest_ok"))
 
 
-def leading_run(df: DataFrame, keys: list[str], order: list[Column], ok: Column) -> DataFrame:
-    """(keys, failures): how many rows come before the first good one in the order."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = df.withColumn("__ok", F.sum(F.when(ok, 1).otherwise(0)).over(w))
-    return seen.groupBy(*keys).agg(F.count_if(F.col("__ok") == 0).alias("failures"))
-
-
-def value_changes(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str = "change") -> DataFrame:
-    """first, unchanged, changed, new or removed against the value before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumn("__v", value).withColumn("__b", F.lag("__v").over(w)).withColumn("__i", F.row_number().over(w))
-    change = (
-        F.when(F.col("__i") == 1, "first").when(F.col("__v").eqNullSafe(F.col("__b")), "unchanged").when(F.col("__b").isNull(), "new").when(F.col("__v").isNull(), "removed").otherwise("changed")
-    )
-    return df.withColumn(out, change).drop("__v", "__b", "__i")
+def value_changes(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, value: str, out: str = "change") -> DataFrame:
+    """first, unchanged, changed, new or removed against the value before, which is found by slices of the order."""
+    df = previous_within(df, keys, order, slice_by, [value])
+    before = F.col(f"previous.{value}")
+    change = F.when(F.col("previous").isNull(), "first").when(F.col(value).eqNullSafe(before), "unchanged").when(before.isNull(), "new").when(F.col(value).isNull(), "removed").otherwise("changed")
+    return df.withColumn(out, change).drop("previous")
 
 
 def append_new(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:

@@ -53,6 +53,17 @@ def entities(df: DataFrame, kind: str, key: str, fields: list[str]) -> DataFrame
     return df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), body.alias("body")).withColumn("digest", F.sha2("body", 256))
 
 
+def recomposed(entities_: DataFrame, kind: str, key: str, fields: dict[str, str]) -> DataFrame:
+    """Entities of a kind as typed rows again: (key, fields)."""
+    body = F.from_json("body", ", ".join(f"`{c}` {t}" for c, t in fields.items()))
+    return entities_.where(F.col("kind") == kind).select(F.col("key").alias(key), body.alias("b")).select(key, *[F.col(f"b.{c}").alias(c) for c in fields])
+
+
+def without_source(support: DataFrame, key: str, source: str, gone: Column) -> DataFrame:
+    """(key, left_sources): what other sources still support after one is removed; what only that one did has no row."""
+    return support.where(~gone).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(source)), ",").alias("left_sources"))
+
+
 def changed_entities(stored: DataFrame, now: DataFrame) -> DataFrame:
     """(kind, key, change): entities put, by new digest, and deleted."""
     s, n = stored.select("kind", "key", F.col("digest").alias("was")), now.select("kind", "key", F.col("digest").alias("is"))

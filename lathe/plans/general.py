@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lathe.functions import dates, ids, text, urls
 from lathe.functions.html import absolute_urls, html_to_text
-from lathe.operators import identity, joins, lifecycle, records, selection
+from lathe.operators import identity, joins, ledger, lifecycle, records, selection
 from lathe.session import table
 from lathe.streaming import events as ev
 
@@ -88,7 +88,7 @@ def latest_and_successful(spark, d):
     SELECT source, count(*) FILTER (WHERE ok = 0) AS failures FROM r GROUP BY source""",
 )
 def failure_run(spark, d):
-    return lifecycle.leading_run(_scans(spark, d), ["source"], [F.desc("finished_at"), F.desc("scan_id")], F.col("status") == "listing")
+    return ledger.failure_runs(_scans(spark, d), ["source"], ["finished_at", "scan_id"], F.col("status") == "listing", {"failures": F.lit(True)})
 
 
 @query(
@@ -97,22 +97,7 @@ def failure_run(spark, d):
     SELECT source, scan_id, CASE WHEN i = 1 THEN 'first' WHEN received IS NOT DISTINCT FROM b THEN 'unchanged' WHEN b IS NULL THEN 'new' WHEN received IS NULL THEN 'removed' ELSE 'changed' END AS change FROM l""",
 )
 def listing_size_change(spark, d):
-    return lifecycle.value_changes(_scans(spark, d).where("complete"), ["source"], [F.col("started_at"), F.col("scan_id")], F.col("received")).select("source", "scan_id", "change")
-
-
-@query(
-    "s086_scan_plan",
-    """WITH s AS (SELECT job_id, arg_max(status, last_seen_at::VARCHAR || lpad(row_id::VARCHAR, 12, '0')) AS status, max(title) AS fingerprint FROM job_records GROUP BY job_id),
-    i AS (SELECT job_id, max(lower(trim(fingerprint))) AS fingerprint FROM stored_jobs GROUP BY job_id)
-    SELECT coalesce(s.job_id, i.job_id) AS job_id, CASE WHEN s.job_id IS NULL THEN 'new' WHEN i.job_id IS NOT NULL AND s.status = 'closed' THEN 'reopened'
-      WHEN i.job_id IS NOT NULL AND s.fingerprint IS DISTINCT FROM i.fingerprint THEN 'updated' WHEN i.job_id IS NOT NULL THEN 'unchanged'
-      WHEN s.status = 'open' THEN 'closed' ELSE 'kept' END AS action
-    FROM s FULL JOIN i USING (job_id)""",
-)
-def scan_plan(spark, d):
-    stored = _jobs(spark, d).groupBy("job_id").agg(F.max_by("status", F.struct("last_seen_at", "row_id")).alias("status"), F.max("title").alias("fingerprint"))
-    incoming = table(spark, d, "stored_jobs").groupBy("job_id").agg(F.max(F.lower(F.trim("fingerprint"))).alias("fingerprint"))
-    return lifecycle.plan_scan(stored, incoming)
+    return lifecycle.value_changes(_scans(spark, d).where("complete"), ["source"], ["started_at", "scan_id"], F.to_date("started_at"), "received").select("source", "scan_id", "change")
 
 
 @query("s154_keep_first", "SELECT id, row_id FROM greenhouse_jobs QUALIFY row_number() OVER (PARTITION BY id ORDER BY received_at, row_id) = 1")
@@ -255,11 +240,6 @@ def url_parts(spark, d):
     return t.select("row_id", urls.host("job_url").alias("host"), F.nullif(F.regexp_extract("job_url", "/p/([0-9a-f-]{36})", 1), F.lit("")).alias("native"))
 
 
-@query("s177_canonical_urls")
-def canonical_urls(spark, d):
-    return table(spark, d, "greenhouse_jobs").select("row_id", urls.canonical_url(F.col("absolute_url")).alias("url"))
-
-
 @query("s182_posting_text")
 def posting_text(spark, d):
     return table(spark, d, "greenhouse_jobs").select("row_id", html_to_text(F.col("content"), escaped=True).alias("text"))
@@ -371,14 +351,14 @@ def as_of_join(spark, d):
 
 @query(
     "s092_period_overlap",
-    f"""{_SCANS}, e AS (SELECT scan_id, source_kind, epoch_us(started_at) // 1000000 AS f, epoch_us(finished_at) // 1000000 AS t FROM s WHERE NOT complete)
+    f"""{_SCANS}, e AS (SELECT scan_id, source_kind, epoch_us(started_at) // 1000000 AS f, epoch_us(finished_at) // 1000000 + 86400 AS t FROM s WHERE NOT complete)
     SELECT a.scan_id AS scan_a, b.scan_id AS scan_b FROM e a JOIN e b ON a.source_kind = b.source_kind AND a.scan_id < b.scan_id AND a.f <= b.t AND b.f <= a.t""",
 )
 def period_overlap(spark, d):
     sec = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 1_000_000).cast("long")
-    e = _scans(spark, d).where("NOT complete").select("scan_id", "source_kind", sec("started_at").alias("f"), sec("finished_at").alias("t"))
+    e = _scans(spark, d).where("NOT complete").select("scan_id", "source_kind", sec("started_at").alias("f"), (sec("finished_at") + 86_400).alias("t"))  # a scan counts for the day after it
     a, b = e.select("source_kind", F.col("scan_id").alias("scan_a"), F.col("f").alias("fa"), F.col("t").alias("ta")), e.select("source_kind", F.col("scan_id").alias("scan_b"), F.col("f").alias("fb"), F.col("t").alias("tb"))
-    return joins.overlapping(a, b, ["source_kind"], 3600, "fa", "ta", "fb", "tb").where("scan_a < scan_b").select("scan_a", "scan_b")
+    return joins.overlapping(a, b, ["source_kind"], 86_400, "fa", "ta", "fb", "tb").where("scan_a < scan_b").select("scan_a", "scan_b")
 
 
 @query(
@@ -450,8 +430,8 @@ def windowed_counts(spark, d):
 @query("s292_changes_after_cursor", "SELECT event_id, user_id FROM events WHERE event_id > (SELECT max(event_id) - 500 FROM events)")
 def after_cursor(spark, d):
     e = table(spark, d, "events")
-    last = e.agg(F.max("event_id").alias("last"))
-    return e.join(F.broadcast(last), F.col("event_id") > F.col("last") - 500).select("event_id", "user_id")  # one row is broadcast
+    last = e.agg(F.max("event_id")).first()[0]  # the cursor: one number, which then reaches the scan as a pushed filter
+    return e.where(F.col("event_id") > F.lit((last or 0) - 500)).select("event_id", "user_id")
 
 
 @query(
@@ -467,12 +447,6 @@ def idempotent_insert(spark, d):
     return lifecycle.append_new(_jobs(spark, d).select("job_id"), table(spark, d, "stored_jobs").select("job_id"), ["job_id"])
 
 
-@query("s197_board_offsets")
-def board_offsets(spark, d):
-    at = lambda t: dates.utc_offset_minutes(F.lit(t).cast("timestamp"), "zone")
-    return table(spark, d, "boards").select("board", at("2025-01-15 00:00:00").alias("winter"), at("2025-07-15 00:00:00").alias("summer"))
-
-
 # Facts from several statements
 
 _P = "SELECT *, concat_ws(':', source.kind, source.instance) AS src FROM job_records"
@@ -531,11 +505,6 @@ def precision_shares(spark, d):
     return records.precision(j, ["kind"], F.col("status").eqNullSafe(F.lit("open")), w.eqNullSafe(F.lit("remote")), w.eqNullSafe(F.lit("hybrid")))
 
 
-@query("s051_entities")
-def entity_rows(spark, d):
-    return records.entities(table(spark, d, "boards"), "board", "board", ["kind", "company", "zone", "date_order"])
-
-
 @query(
     "s303_sightings",
     f"""WITH p AS ({_P}) SELECT company, arg_min(workplace_type, first_seen_at::VARCHAR || workplace_type) AS workplace_type, arg_min(employment_type, first_seen_at::VARCHAR || employment_type) AS employment_type,

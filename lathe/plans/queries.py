@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lathe.operators import instants as op_instants
 from lathe.operators import quantities, snapshots, splitting
-from lathe.plans import core_sql, reference
+from lathe.plans import core_sql, general, ledger, places
 from lathe.session import table
 
 
@@ -25,6 +25,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p6_found": splitting.found,
-    **reference.QUERIES,
+    **general.QUERIES,
+    **ledger.QUERIES,
+    **places.QUERIES,
 }
-SQL = {"p4_found": core_sql.P4_FOUND, **reference.SQL}
+SQL = {"p4_found": core_sql.P4_FOUND, **general.SQL, **ledger.SQL, **places.SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A dimension is broadcast only after its rows were counted and found under this bound.
@@ -75,8 +75,6 @@ def ranked_within(df: DataFrame, keys: list[str], order: list, slice_by, out: st
     count of the key's earlier slices. Only the slice counts meet in one window
     per key. Nulls in keys form a group of their own.
     """
-    from pyspark.sql import Window
-
     s = "__slice"
     df = df.withColumn(s, slice_by)
     sizes = df.groupBy(*keys, s).agg(F.count(F.lit(1)).alias("__n"))
@@ -90,3 +88,21 @@ def ranked_within(df: DataFrame, keys: list[str], order: list, slice_by, out: st
     joined = left.join(right, on, "inner").select("l.*", "r.__before")
     within = Window.partitionBy(*keys, s).orderBy(*order)
     return joined.withColumn(out, F.col("__before") + F.row_number().over(within)).drop(s, "__before")
+
+
+def previous_within(df: DataFrame, keys: list[str], order: list[str], slice_by: Column, values: list[str], out: str = "previous") -> DataFrame:
+    """Add ``out``: a struct of ``values`` of the row before in a key's order, null for the first one.
+
+    ``slice_by`` follows the order, as in ``ranked_within``: the row before is
+    looked for inside (key, slice), and the first row of a slice gets the last
+    one of the key's slice before. Null keys are one key.
+    """
+    s = "__slice"
+    df = df.withColumns({s: slice_by, "__v": F.struct(*values)})
+    lasts = df.groupBy(*keys, s).agg(F.max_by("__v", F.struct(*order)).alias("__last"))
+    lasts = lasts.withColumn("__carried", F.lag("__last").over(Window.partitionBy(*keys).orderBy(s))).drop("__last")
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, s]]
+    joined = df.alias("l").join(lasts.alias("r"), on).select("l.*", "r.__carried")
+    within = Window.partitionBy(*keys, s).orderBy(*order)
+    first = F.row_number().over(within) == 1
+    return joined.withColumn(out, F.when(first, F.col("__carried")).otherwise(F.lag("__v").over(within))).drop(s, "__v", "__carried")

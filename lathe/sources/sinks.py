@@ -9,12 +9,17 @@ from lathe.session import cut
 
 
 def append_events(df: DataFrame, folder: str, key: str, at: str) -> int:
-    """Append the events whose key is not stored yet, by day; returns how many."""
+    """Append the events whose key is not stored yet, by day; returns how many.
+
+    An event keeps its time, so only the days of the new rows are looked through.
+    """
     spark = df.sparkSession
-    new = df.dropDuplicates([key]).withColumn("day", F.to_date(at))
+    new = cut(df.dropDuplicates([key]).withColumn("day", F.to_date(at)))
+    first, last = new.agg(F.min("day"), F.max("day")).first()
     try:
-        stored = spark.read.parquet(folder).select(key).distinct()
-        new = new.join(stored, key, "left_anti")
+        stored = spark.read.parquet(folder).where(F.col("day").between(F.lit(first), F.lit(last)) | F.col("day").isNull())
+        stored = stored.join(F.broadcast(new.select("day").distinct()), stored["day"].eqNullSafe(new["day"]), "left_semi").select(key)  # days of one append
+        new = new.join(stored.distinct(), key, "left_anti")
     except Exception as e:  # the folder is not there yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
