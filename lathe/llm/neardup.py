@@ -1,13 +1,16 @@
 """Near-duplicate records: MinHash LSH forest, exact verification, components.
 
-Each distinct text gets one signature per tree of the forest; a sorted prefix
-trie of signatures is the set of its prefixes of each length. Matching starts
-at the full depth, where a shared prefix nearly proves a copy and a member is
-compared with its bucket's first only, and the prefixes are then shortened to
-the depth at which the trees together reach the target recall at the
-threshold. At that depth all pairs of a bucket that are not yet in one group
-are verified on their exact shingle sets, so large groups of copies, which the
-deep levels have joined, never turn into pairs.
+Each distinct text has one signature per tree of the forest. A tree is a prefix
+trie: at the final depth, where all trees together reach the target recall for
+a pair at the threshold, a text stays in the trie only where it shares its
+prefix with another one, and it carries the longer prefixes along. Matching
+starts at the longest prefixes, where sharing one nearly proves a copy and a
+member is compared with its bucket's first only. Prefixes are then shortened
+step by step, and a text leaves the trie as soon as it shares no prefix of the
+final depth with a text of another group, since shorter ones could add nothing.
+At the final depth the texts of different groups are compared, on their exact
+shingle sets. Buckets that hold very many groups, as boilerplate makes them, are
+not crossed but joined by their rarest shingles, which finds the same pairs.
 """
 
 from __future__ import annotations
@@ -21,21 +24,31 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lathe.operators.graph import connected_components
+from lathe.operators.joins import skewed
 from lathe.session import cut, growing, table
 
 TREES = 50
-DEPTH = 8
-#: Trees that look for near-copies at full depth; a pair of 0.9 meets in one of them with 0.996.
-DEEP_TREES = 10
+#: Depths above the final one that prefixes start at, and by which they get shorter.
+STEPS, STRIDE = 4, 2
 TARGET_RECALL = 0.998
+#: Groups of one bucket that are compared with each other; members of fuller buckets are joined by rare shingles.
+MOST_STRANGERS = 50
+_CODE_BITS = 64 // STEPS
 
 
-def final_depth(threshold: float, trees: int = TREES, deepest: int = DEPTH, target: float = TARGET_RECALL) -> int:
+def expected_recall(similarity: float, depth: int, trees: int = TREES) -> float:
+    """Chance that a pair shares a prefix of this depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def final_depth(threshold: float, trees: int = TREES, target: float = TARGET_RECALL) -> int:
     """The longest prefix that reaches the target recall for pairs at the threshold."""
-    for depth in range(deepest, 0, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
-            return depth
-    raise ValueError("too few trees for this threshold and recall")
+    depth = 0
+    while expected_recall(threshold, depth + 1, trees) >= target and depth < 64:
+        depth += 1
+    if not depth:
+        raise ValueError("too few trees for this threshold and recall")
+    return depth
 
 
 def shingle_hashes(words: list[str], width: int, known: dict[str, int]) -> np.ndarray:
@@ -81,21 +94,22 @@ def shingled(lower: DataFrame, width: int) -> DataFrame:
     return lower.mapInPandas(run, "id long, shingles array<long>")
 
 
-def forest_keys(sets: DataFrame, levels: dict[int, int], width: int = TREES * DEPTH) -> DataFrame:
-    """(id, at<depth>..., bits): hashes of the prefixes of the first trees at each depth, and a sketch.
+def forest_keys(sets: DataFrame, final: int, trees: int = TREES) -> DataFrame:
+    """(id, keys, paths, bits): of each tree the prefix of the final depth as a hash, and codes of the steps beyond it.
 
-    ``levels`` maps a depth to its number of trees; ``width`` hash functions
-    are drawn. The sketch has one bit of each minimum, 64 to a long.
+    A path has ``STEPS`` codes, the first in its highest bits. The sketch has one
+    bit of each minimum, 64 to a long.
     """
+    deepest = final + STEPS
+    width = trees * deepest
     rng = np.random.default_rng(20240131)
     a = rng.integers(1, 2**63, width, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 2**63, width, dtype=np.uint64)
-    deepest = max(levels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = np.arange(width // deepest, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        tree = np.arange(trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            out, sketch = {d: [] for d in levels}, []
+            out, paths, sketch = [], [], []
             for s in batch["shingles"]:
                 x, low = np.asarray(s, np.int64).view(np.uint64), None
                 for i in range(0, len(x), 256):  # blocks that stay in the processor's cache
@@ -103,18 +117,20 @@ def forest_keys(sets: DataFrame, levels: dict[int, int], width: int = TREES * DE
                     m += b
                     m = m.min(axis=0)
                     low = m if low is None else np.minimum(low, m)
-                sig, keys = low[: len(tree) * deepest].reshape(-1, deepest), tree.copy()
-                for d in range(deepest):
+                sig, keys = low.reshape(trees, deepest), tree.copy()
+                for d in range(final):
                     keys = (keys ^ sig[:, d]) * np.uint64(0xFF51AFD7ED558CCD)
                     keys ^= keys >> np.uint64(33)
-                    if d + 1 in levels:
-                        out[d + 1].append(keys[: levels[d + 1]].view(np.int64).copy())
+                path = np.zeros(trees, np.uint64)
+                for d in range(final, deepest):
+                    path = (path << np.uint64(_CODE_BITS)) | ((sig[:, d] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - _CODE_BITS))
+                out.append(keys.view(np.int64))
+                paths.append(path.view(np.int64))
                 bits = (low * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(63)
                 sketch.append(np.packbits(bits[: width // 64 * 64].astype(np.uint8)).view(np.int64))
-            yield pd.DataFrame({"id": batch["id"], **{f"at{d}": k for d, k in out.items()}, "bits": sketch})
+            yield pd.DataFrame({"id": batch["id"], "keys": out, "paths": paths, "bits": sketch})
 
-    schema = "id long, " + ", ".join(f"at{d} array<long>" for d in levels) + ", bits array<long>"
-    return sets.select("id", "shingles").mapInPandas(run, schema)
+    return sets.select("id", "shingles").mapInPandas(run, "id long, keys array<long>, paths array<long>, bits array<long>")
 
 
 def least_equal_bits(threshold: float, bits: int) -> int:
@@ -137,7 +153,7 @@ def verified(pairs: DataFrame, forest: DataFrame, sets: DataFrame, threshold: fl
     return both.where(shared >= (F.size("sa") + F.size("sb") - shared) * F.lit(threshold) - 1e-9).select("a", "b")
 
 
-def groups(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, trees: int = TREES, target: float = TARGET_RECALL) -> DataFrame:
+def groups(df: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, trees: int = TREES, target: float = TARGET_RECALL, most: int = MOST_STRANGERS) -> DataFrame:
     """(key, group): every row with a usable text and its group's least key.
 
     Two rows are linked when the Jaccard similarity of their sets of ``width``
@@ -146,55 +162,97 @@ def groups(df: DataFrame, key: str, text: str, width: int = 5, threshold: float
     other rows with fewer than ``width`` words, which have no shingles, stand
     alone. Rows with a null key or text are left out. Keys must be unique.
     """
-    shallow = final_depth(threshold, trees, DEPTH, target)
-    levels = {DEPTH: min(DEEP_TREES, trees), shallow: trees} if shallow < DEPTH else {DEPTH: trees}
+    final = final_depth(threshold, trees, target)
     lower = df.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
     same = cut(words_digest(lower))
-    classes = same.groupBy("same").agg(F.min("key").alias("id"))
-    member = cut(same.join(growing(classes), "same").select("key", "id"))
+    classes = cut(same.groupBy("same").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n")))
+    member = cut(skewed(same, classes, ["same"], "n").select("key", "id"))
     # Only one row of each class goes on, and its text travels rather than its shingles.
-    chosen = lower.join(growing(member.where("key = id").select("key")), "key", "left_semi")
+    chosen = lower.join(growing(classes.select(F.col("id").alias("key"))), "key", "left_semi")
     sets = cut(shingled(chosen, width).where(F.size("shingles") > 0))
-    forest = cut(forest_keys(sets, levels, trees * DEPTH).join(growing(sets.select("id", F.size("shingles").alias("n"))), "id"))
-    edges, comp = None, None
-    for depth in sorted(levels, reverse=True):
-        candidates = _candidates(forest, f"at{depth}", comp, last=depth == min(levels))
-        found = cut(verified(candidates, forest, sets, threshold, trees * DEPTH // 64 * 64))
+    forest = cut(forest_keys(sets, final, trees).join(growing(sets.select("id", F.size("shingles").alias("n"))), "id"))
+    bits = trees * (final + STEPS) // 64 * 64
+    trie = cut(shared_prefixes(forest))
+    edges = comp = None
+    for depth in range(final + STEPS, final - 1, -STRIDE):
+        trie = cut(active(trie, comp))
+        if depth > final:
+            candidates = first_of_bucket(trie, depth - final)
+        else:
+            candidates = strangers(trie, sets, threshold, most)
+        found = cut(verified(candidates, forest, sets, threshold, bits))
         edges = found if edges is None else edges.unionByName(found)
         comp = connected_components(edges, "a", "b")
+        if trie.isEmpty():
+            break
     grouped = member.join(comp.withColumnRenamed("node", "id"), "id", "left")
     return grouped.select(F.col("key").alias(key), F.coalesce("component", "id").alias("group"))
 
 
-def _candidates(forest: DataFrame, keys: str, comp: DataFrame | None, last: bool) -> DataFrame:
-    """(a, b), a < b, of different groups that share a prefix of some tree.
+def shared_prefixes(forest: DataFrame) -> DataFrame:
+    """(key, path, id, comp): the trie's entries of the final depth that two records and more share."""
+    each = forest.select("id", F.explode(F.arrays_zip("keys", "paths")).alias("x")).select("id", F.col("x.keys").alias("key"), F.col("x.paths").alias("path"))
+    # Counted with partial sums first: a prefix that a third of all records share is one row of the counts.
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return skewed(each, shared, ["key"], "n").select("key", "path", "id", F.col("id").alias("comp"))
 
-    Before the last level only pairs of a bucket's least member with the others,
-    at the last one all pairs of members of different groups. One shuffle by
-    the prefix tells which buckets hold more than one group.
-    """
-    nodes = forest.select("id", keys)
+
+def active(trie: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The entries, with their present groups, of prefixes of the final depth that different groups still share."""
     if comp is None:
-        nodes = nodes.withColumn("comp", F.col("id"))
-    else:
-        known = comp.select(F.col("node").alias("id"), F.col("component").alias("c"))
-        nodes = nodes.join(known, "id", "left").select("id", F.coalesce("c", "id").alias("comp"), keys)
-    bucket = Window.partitionBy("key")
-    nodes = nodes.select("id", "comp", F.explode(keys).alias("key"))
-    nodes = nodes.withColumns({"lo": F.min("comp").over(bucket), "hi": F.max("comp").over(bucket), "head": F.min("id").over(bucket)}).where("lo <> hi")
-    if not last:
-        return nodes.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    held = cut(nodes.select("key", "comp", "id"))
-    by_comp = held.select("key", "comp").distinct()
-    left = by_comp.select("key", F.col("comp").alias("ca"))
-    right = by_comp.select("key", F.col("comp").alias("cb"))
-    crossed = left.join(right, "key").where("ca < cb")
-    one = held.select("key", F.col("comp").alias("ca"), F.col("id").alias("x"))
-    two = held.select("key", F.col("comp").alias("cb"), F.col("id").alias("y"))
-    pairs = crossed.join(one, ["key", "ca"]).join(two, ["key", "cb"])
+        return trie
+    known = comp.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    now = cut(trie.drop("comp").join(growing(known), "id", "left").select("key", "path", "id", F.coalesce("c", "id").alias("comp")))
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    return skewed(now, mixed.select("key", "n"), ["key"], "n").select("key", "path", "id", "comp")
+
+
+def first_of_bucket(trie: DataFrame, steps: int) -> DataFrame:
+    """(a, b), a < b: the first record of each prefix, ``steps`` longer than the final one, with those of other groups."""
+    longer = trie.withColumn("code", F.shiftrightunsigned("path", (STEPS - steps) * _CODE_BITS))
+    firsts = longer.groupBy("key", "code").agg(F.min(F.struct("id", "comp")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = skewed(longer, firsts, ["key", "code"], "n").where("id <> first.id AND comp <> first.comp")
+    return met.select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def strangers(trie: DataFrame, sets: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(a, b), a < b: records of different groups that share a prefix of the final depth."""
+    by_comp = cut(trie.select("key", "comp").distinct())
+    size = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("groups"))
+    full = cut(size.where(F.col("groups") > most).select("key"))
+    few = by_comp.join(growing(full), "key", "left_anti")
+    pairs = crossed(few, trie)
+    if full.isEmpty():
+        return pairs
+    return pairs.unionByName(by_rare_shingles(trie.join(growing(full), "key", "left_semi").select("id", "comp").distinct(), sets, threshold)).distinct()
+
+
+def crossed(by_comp: DataFrame, entries: DataFrame) -> DataFrame:
+    """(a, b), a < b, of different groups under one key; ``by_comp`` has its groups, ``entries`` (key, comp, id) its records."""
+    one, two = by_comp.select("key", F.col("comp").alias("ca")), by_comp.select("key", F.col("comp").alias("cb"))
+    groups_met = one.join(two, "key").where("ca < cb")
+    x = entries.select("key", F.col("comp").alias("ca"), F.col("id").alias("x"))
+    y = entries.select("key", F.col("comp").alias("cb"), F.col("id").alias("y"))
+    pairs = groups_met.join(x, ["key", "ca"]).join(y, ["key", "cb"])
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def by_rare_shingles(records: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: all pairs of different groups that can reach the threshold, by prefix filtering.
+
+    Of two sets that similar, each has one of the shared shingles among its
+    n - ceil(threshold n) + 1 rarest ones. Shingles that only one group has are
+    left out, and boilerplate, which everyone has, is never among the rare ones.
+    """
+    held = records.join(growing(sets), "id").select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+    held = cut(held)
+    often = held.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    order = Window.partitionBy("id").orderBy("often", "key")  # as long as one text
+    placed = held.join(growing(often), "key").withColumn("place", F.row_number().over(order))
+    rare = cut(placed.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold - 1e-9)) + 1) & (F.col("lo") != F.col("hi"))).select("key", "comp", "id"))
+    return crossed(rare.select("key", "comp").distinct(), rare)
+
+
 def opening_text(ashby: DataFrame) -> DataFrame:
     """(row_id, text) of the rows with a description: title, company and it."""
     blank = F.coalesce(F.trim(F.regexp_replace("description_plain", r"\s+", " ")), F.lit("")) == ""
@@ -214,6 +272,13 @@ def pairs_within(grouped: DataFrame, key: str = "row_id") -> DataFrame:
     return a.join(b, "group").where("row_a < row_b").select("row_a", "row_b")
 
 
+def opening_classes(spark: SparkSession, d: str) -> DataFrame:
+    """p2_groups: one row per opening row with its class and the class's number of rows."""
+    grouped = cut(opening_groups(table(spark, d, "ashby_jobs")))
+    n = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("n_rows"))
+    return skewed(grouped, n, ["group"], "n_rows").select("row_id", F.col("group").alias("class_id"), "n_rows")
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
     """p2_found."""
     return pairs_within(cut(opening_groups(table(spark, d, "ashby_jobs"))))

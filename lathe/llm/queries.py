@@ -16,5 +16,5 @@ def p8_containers(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": matching.found, "p1_unmatched": matching.unmatched, "p2_found": neardup.found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": language.found, "p9_languages": language.all_languages}
+QUERIES = {"p1_found": matching.found, "p1_unmatched": matching.unmatched, "p2_found": neardup.found, "p2_groups": neardup.opening_classes, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": language.found, "p9_languages": language.all_languages}
 SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import regex
 
-from lathe.llm.neardup import final_depth, forest_keys, groups, opening_text, pairs_within, shingle_hashes
+from lathe.llm.neardup import STEPS, expected_recall, final_depth, forest_keys, groups, opening_text, pairs_within, shingle_hashes
 
 
 def brute(rows, width, threshold):
@@ -62,14 +62,37 @@ def test_pairs(spark):
 
 
 def test_recall_at_the_threshold(spark):
+    """Pairs of just the threshold share a prefix of the final depth, deeper ones less often, as expected."""
     r = np.random.default_rng(1)
-    depth = final_depth(0.6)
-    rows = []
-    for i in range(300):  # pairs of exactly 0.6
-        x = r.integers(-(2**62), 2**62, 130)
-        rows += [(2 * i, x[:105].tolist()), (2 * i + 1, np.concatenate([x[:80], x[105:]]).tolist())]
-    out = {k.id: set(k[f"at{depth}"]) for k in forest_keys(spark.createDataFrame(rows, "id long, shingles array<long>"), {depth: 50}, 50 * depth).collect()}
-    assert sum(bool(out[2 * i] & out[2 * i + 1]) for i in range(300)) / 300 > 0.97
+    for threshold, parts in ((0.6, (80, 25)), (0.8, (96, 12))):
+        depth = final_depth(threshold)
+        rows = []
+        for i in range(1000):
+            x = r.integers(-(2**62), 2**62, sum(parts) + parts[1])
+            rows += [(2 * i, x[: sum(parts)].tolist()), (2 * i + 1, np.concatenate([x[: parts[0]], x[sum(parts) :]]).tolist())]
+        out = {k.id: k for k in forest_keys(spark.createDataFrame(rows, "id long, shingles array<long>"), depth).collect()}
+        s = parts[0] / (parts[0] + 2 * parts[1])
+        assert sum(bool(set(out[2 * i]["keys"]) & set(out[2 * i + 1]["keys"])) for i in range(1000)) / 1000 >= 0.99
+        for steps in range(1, STEPS + 1):
+            code = lambda k: {(a, (b % 2**64) >> 16 * (STEPS - steps)) for a, b in zip(k["keys"], k["paths"])}  # noqa: E731, B023
+            met = sum(bool(code(out[2 * i]) & code(out[2 * i + 1])) for i in range(1000)) / 1000
+            assert abs(met - expected_recall(s, depth + steps)) < 0.06
+
+
+def test_full_buckets_lose_no_pair(spark):
+    """Buckets with more groups than are crossed: boilerplate that all records share, and edits beside it."""
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    boiler = r.choices(vocab, k=60)
+    data = []
+    for _ in range(60):
+        own = r.choices(vocab, k=40)
+        data += [(len(data), " ".join(boiler + own)), (len(data) + 1, " ".join(boiler) + " " + edited(r, own, r.randint(1, 14)))]
+    df = spark.createDataFrame(data, "row_id long, text string")
+    want = brute(data, 3, 0.6)
+    for most in (1, 5, 50):
+        assert {x.row_id: x.group for x in groups(df, "row_id", "text", 3, 0.6, most=most).collect()} == want
+    assert len(set(want.values())) > 30
 
 
 def test_openings_need_a_description(spark):
