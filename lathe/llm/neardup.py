@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from lathe.operators.graph import connected_components
 from lathe.operators.joins import skewed
-from lathe.session import cut, growing, table
+from lathe.session import bounded_broadcast, cut, growing, table
 
 TREES = 50
 #: Depths above the final one that prefixes start at, and by which they get shorter.
 STEPS, STRIDE = 4, 2
 TARGET_RECALL = 0.998
 #: Groups of one bucket that are compared with each other; members of fuller buckets are joined by rare shingles.
-MOST_STRANGERS = 50
+MOST_STRANGERS = 128
 _CODE_BITS = 64 // STEPS
 
 
@@ -70,32 +70,26 @@ def shingle_hashes(words: list[str], width: int, known: dict[str, int]) -> np.nd
     return np.unique((out ^ (out >> np.uint64(32))).view(np.int64))
 
 
-_FIND = r"[\p{L}\p{N}]+"
+def words_digest(worded: DataFrame) -> DataFrame:
+    """(key, same): ``same`` is equal for equal word sequences of (key, words)."""
+    return worded.select("key", F.unhex(F.md5("words")).alias("same"))
 
 
-def words_digest(lower: DataFrame) -> DataFrame:
-    """(key, same): ``same`` is equal for equal word sequences of (key, text)."""
-    words = F.regexp_extract_all("text", F.lit(f"({_FIND})"), 1)
-    return lower.select("key", F.unhex(F.md5(F.array_join(words, " "))).alias("same"))
-
-
-def shingled(lower: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of (key, text)."""
+def shingled(worded: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of (key, words), words parted by single blanks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        find, known = regex.compile(_FIND).findall, {}
+        known: dict[str, int] = {}
         for b in batches:
             if len(known) > 500_000:
                 known.clear()
-            yield pd.DataFrame({"id": b["key"], "shingles": [shingle_hashes(find(t), width, known) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["key"], "shingles": [shingle_hashes(t.split(), width, known) for t in b["words"]]})
 
-    return lower.mapInPandas(run, "id long, shingles array<long>")
+    return worded.mapInPandas(run, "id long, shingles array<long>")
 
 
 def forest_keys(sets: DataFrame, final: int, trees: int = TREES) -> DataFrame:
-    """(id, keys, paths, bits): of each tree the prefix of the final depth as a hash, and codes of the steps beyond it.
+    """(id, n, keys, paths, bits): the number of shingles, of each tree the prefix of the final depth as a hash, and codes of the steps beyond it.
 
     A path has ``STEPS`` codes, the first in its highest bits. The sketch has one
     bit of each minimum, 64 to a long.
@@ -128,9 +122,9 @@ def forest_keys(sets: DataFrame, final: int, trees: int = TREES) -> DataFrame:
                 paths.append(path.view(np.int64))
                 bits = (low * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(63)
                 sketch.append(np.packbits(bits[: width // 64 * 64].astype(np.uint8)).view(np.int64))
-            yield pd.DataFrame({"id": batch["id"], "keys": out, "paths": paths, "bits": sketch})
+            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in batch["shingles"]], "keys": out, "paths": paths, "bits": sketch}).astype({"n": "int32"})
 
-    return sets.select("id", "shingles").mapInPandas(run, "id long, keys array<long>, paths array<long>, bits array<long>")
+    return sets.select("id", "shingles").mapInPandas(run, "id long, n int, keys array<long>, paths array<long>, bits array<long>")
 
 
 def least_equal_bits(threshold: float, bits: int) -> int:
@@ -147,7 +141,10 @@ def verified(pairs: DataFrame, forest: DataFrame, sets: DataFrame, threshold: fl
     near = pairs.join(small.withColumnsRenamed({"id": "a", "n": "na", "bits": "ba"}), "a").join(small.withColumnsRenamed({"id": "b", "n": "nb", "bits": "bb"}), "b")
     equal = F.lit(bits) - sum((F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(bits // 64)), F.lit(0))
     near = near.where((F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-9)) & (equal >= least_equal_bits(threshold, bits))).select("a", "b")
-    s = growing(sets.select("id", "shingles"))
+    near = cut(near)
+    # Sets are long and pairs are few: only the sets of pairs are moved.
+    ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    s = growing(sets.select("id", "shingles").join(bounded_broadcast(ids), "id", "left_semi"))
     both = near.join(s.withColumnsRenamed({"id": "a", "shingles": "sa"}), "a").join(s.withColumnsRenamed({"id": "b", "shingles": "sb"}), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= (F.size("sa") + F.size("sb") - shared) * F.lit(threshold) - 1e-9).select("a", "b")
@@ -163,14 +160,15 @@ def groups(df: DataFrame, key: str, text: str, width: int = 5, threshold: float
     alone. Rows with a null key or text are left out. Keys must be unique.
     """
     final = final_depth(threshold, trees, target)
-    lower = df.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    same = cut(words_digest(lower))
+    words = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
+    worded = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), words.alias("words"))
+    same = cut(words_digest(worded))
     classes = cut(same.groupBy("same").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n")))
     member = cut(skewed(same, classes, ["same"], "n").select("key", "id"))
     # Only one row of each class goes on, and its text travels rather than its shingles.
-    chosen = lower.join(growing(classes.select(F.col("id").alias("key"))), "key", "left_semi")
+    chosen = worded.join(growing(classes.select(F.col("id").alias("key"))), "key", "left_semi")
     sets = cut(shingled(chosen, width).where(F.size("shingles") > 0))
-    forest = cut(forest_keys(sets, final, trees).join(growing(sets.select("id", F.size("shingles").alias("n"))), "id"))
+    forest = cut(forest_keys(sets, final, trees))
     bits = trees * (final + STEPS) // 64 * 64
     trie = cut(shared_prefixes(forest))
     edges = comp = None
