@@ -2,14 +2,17 @@
 
 For each language a zstandard raw-content dictionary holds sample text. A
 sentence is compressed with every dictionary, and the smallest size wins; the
-margin to the second is its confidence, and a narrow margin is rejected. In a
+margin to the second is its confidence, and a slim margin is rejected. In a
 document the sentences' sizes are added up along the cheapest path on which
 each change of language costs a fixed number of bytes; so rejected sentences
-follow their neighbours, and passages come out in order of writing.
+follow their neighbours, and passages come out in order of writing. A passage
+whose margin is slim as a whole, or that no dictionary makes much shorter than
+none does, as with a language that has no dictionary, is undetermined.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -39,8 +42,14 @@ SAMPLE_BYTES = 96_000
 LEAST_ROWS = 5
 #: Bytes that a change of language costs along a document.
 SWITCH_BYTES = 6
-#: A sentence whose best size is not this share smaller than the second is rejected.
+#: A sentence, or passage, whose best size is not this share smaller than the second is rejected.
 LEAST_MARGIN = 0.03
+#: A passage whose best size is not this share smaller than without a dictionary is in none of their languages.
+LEAST_GAIN = 0.08
+#: The language of rejected passages.
+UNDETERMINED = "und"
+#: Sentences whose sizes a task remembers.
+REMEMBERED = 100_000
 
 
 def label_code(label: Column | str) -> Column:
@@ -101,9 +110,24 @@ class Compressors:
             d = z.ZstdCompressionDict(dictionaries[code], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=level)
             self.by.append(z.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+        self.bare = z.ZstdCompressor(level=level, write_checksum=False, write_content_size=False)
+        self.known: dict[bytes, list[int]] = {}
+
+    def sizes(self, sentence: bytes) -> list[int]:
+        """Compressed sizes with each dictionary, and without one; sentences that come again are remembered."""
+        out = self.known.get(sentence)
+        if out is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            out = self.known[sentence] = [*[len(c.compress(sentence)) for c in self.by], len(self.bare.compress(sentence))]
+        return out
 
     def passages(self, text: str | None) -> list[tuple[int, str, float]]:
-        """(pos, lang, confidence) of the passages of one language; [] without a sentence of words."""
+        """(pos, lang, confidence) of the passages of one language; [] without a sentence of words.
+
+        The language of a rejected passage is ``und``, its confidence what speaks
+        for the best one.
+        """
         if not text or not self.langs:
             return []
         parts = sentences(text)
@@ -116,8 +140,10 @@ class Compressors:
                 parts = [(whole, True)]
         # Lines that are no sentences (titles, headings, single words) say nothing about a change.
         n = len(self.by)
-        sizes = np.array([[len(c.compress(d)) for c in self.by] for d in (plain(s) for s, ok in parts if ok)], np.float64)
+        sizes = np.array([self.sizes(plain(s)) for s, ok in parts if ok], np.float64)
+        sizes, bare = sizes[:, :n], sizes[:, n]
         best = sizes.argmin(axis=1)
+        sure = np.ones(len(sizes), bool)
         if n == 1:
             path = best.tolist()
         else:
@@ -136,8 +162,12 @@ class Compressors:
                 j += 1
             summed = sizes[i:j].sum(axis=0)
             others = np.delete(summed, path[i])
-            confidence = 1.0 if not len(others) else float(min(1.0, max(0.0, 1 - summed[path[i]] / others.min())))
-            out.append((len(out) + 1, self.langs[path[i]], round(confidence, 4)))
+            margin = 1 - summed[path[i]] / others.min() if len(others) else 1.0
+            # Sentences with a margin speak for their passage, if it has any.
+            said = slice(i, j) if not sure[i:j].any() else np.flatnonzero(sure[i:j]) + i
+            gain = 1 - sizes[said].sum(axis=0)[path[i]] / bare[said].sum()
+            rejected = gain < LEAST_GAIN or (margin < LEAST_MARGIN and not sure[i:j].any())
+            out.append((len(out) + 1, UNDETERMINED if rejected else self.langs[path[i]], round(float(min(1.0, max(0.0, min(margin, gain) if rejected else margin))), 4)))
             i = j
         return out
 
@@ -157,6 +187,18 @@ class Compressors:
         return path[::-1]
 
 
+_MADE: dict[bytes, Compressors] = {}
+
+
+def compressors(dictionaries: dict[str, bytes]) -> Compressors:
+    """The compressors of these dictionaries; a worker makes them once for all its tasks."""
+    digest = hashlib.sha256(b"\0".join(k.encode() + b"\0" + v for k, v in sorted(dictionaries.items()))).digest()
+    if digest not in _MADE:
+        _MADE.clear()
+        _MADE[digest] = Compressors(dictionaries)
+    return _MADE[digest]
+
+
 def cleaned(pool: dict[str, list[bytes]], rounds: int = 4) -> dict[str, list[bytes]]:
     """Move each sample sentence to the language whose trigrams it shares most.
 
@@ -195,8 +237,8 @@ def cleaned(pool: dict[str, list[bytes]], rounds: int = 4) -> dict[str, list[byt
 def fit_dictionaries(documents: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries from a bounded sample of labelled rows.
 
-    Of each language that labels name, at most ``rows`` texts in the order of a
-    hash, cut to sentences and at most ``size`` bytes. Labels may be wrong and
+    Of each language that labels name, at most ``rows`` texts of 40 signs and more in
+    the order of a hash, their first 4,000 signs, cut to sentences and at most ``size`` bytes. Labels may be wrong and
     texts mixed, so the sample's sentences vote by their trigrams first, and each
     goes to the language that the vote names. Languages with fewer than ``LEAST_ROWS`` rows
     get none.
@@ -237,16 +279,22 @@ def detect(documents: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     ``label`` is the code that the given label names, or null, and ``passages``
     the number of the document's passages. Null, empty and
     wordless texts, and texts without one full sentence, have no rows; whole
-    texts are read. Repeated doc_ids are treated row by row.
+    texts are read, equal ones once where they meet. Repeated doc_ids are treated
+    row by row. Rejected passages have the language ``und``.
     """
     shared = documents.sparkSession.sparkContext.broadcast(dictionaries)  # languages times SAMPLE_BYTES at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = Compressors(shared.value) if shared.value else None
+        c = compressors(shared.value) if shared.value else None
+        told: dict[str, list] = {}
         for b in batches:
             rows = []
             for d, label, t in zip(b["doc_id"], b["label"], b["text"], strict=True):
-                found = c.passages(t) if c else []
+                found = told.get(t)
+                if found is None:
+                    if len(told) >= REMEMBERED // 100:
+                        told.clear()
+                    found = told[t] = c.passages(t) if c else []
                 rows += [(d, label, len(found), *p) for p in found]
             yield pd.DataFrame(rows, columns=["doc_id", "label", "passages", "pos", "lang", "confidence"]).astype({"doc_id": "int64", "passages": "int64", "pos": "int64", "confidence": "float64"})
 
@@ -260,10 +308,10 @@ def languages(documents: DataFrame) -> DataFrame:
 
 
 def wrong_labels(documents: DataFrame) -> DataFrame:
-    """(doc_id, pos, lang) of the documents whose label is missing or wrong, or whose text mixes languages."""
+    """(doc_id, pos, lang) of the documents whose label is missing or wrong, or whose text mixes languages; undetermined passages are left out."""
     found = detect(documents, fit_dictionaries(documents))
     case = (F.col("passages") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang"))
-    return found.where(case).select("doc_id", "pos", "lang")
+    return found.where(case & (F.col("lang") != UNDETERMINED)).select("doc_id", "pos", "lang")
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:

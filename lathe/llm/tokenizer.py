@@ -30,6 +30,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Distinct words whose ids a worker keeps; beyond it the store starts anew.
 KEPT_WORDS = 200_000
+#: Pairs of tokens that a task remembers as checked.
+PAIRS = 500_000
 
 
 class SpeculativeBpe:
@@ -97,6 +99,8 @@ class SpeculativeBpe:
 
     def _compatible(self, codes: np.ndarray) -> np.ndarray:
         """Which pair codes (left << 20 | right) stay apart under the merges."""
+        if len(self.good) + len(self.bad) > PAIRS:
+            self.good = self.bad = np.empty(0, np.int64)
         new = np.setdiff1d(codes, np.concatenate([self.good, self.bad]))
         if len(new):
             token = self.token
@@ -181,7 +185,7 @@ def token_count(text: Column | str, name: str = "byte_bpe_50k", folder: str | No
 
 
 def encode_documents(documents: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
-    """(doc_id, ids) of every row of ``documents``; a narrow pass without a shuffle.
+    """(doc_id, ids) of every row of ``documents``; a map-only pass without a shuffle.
 
     Repeated doc_ids keep their rows; strings of special tokens are ordinary text.
     """

@@ -44,6 +44,31 @@ def test_found_languages(spark):
     assert [x for _, x, _ in c.passages(long)] == ["en"]
 
 
+def test_rejected_passages(spark):
+    """Texts of no listed language, or of no language, are undetermined, alone and beside others."""
+    docs = spark.read.parquet(D)
+    dic = fit_dictionaries(docs)
+    c = Compressors(dic)
+    strange = {
+        "fi": "Talvella järvet jäätyvät ja lapset luistelevat niillä. Sen jälkeen kaikki juovat kuumaa kaakaota.",
+        "hu": "Télen befagynak a tavak, és a gyerekek korcsolyáznak rajtuk. Utána mindenki forró kakaót iszik.",
+        "el": "Τον χειμώνα οι λίμνες παγώνουν και τα παιδιά κάνουν πατινάζ. Μετά όλοι πίνουν ζεστή σοκολάτα.",
+        "none": "Qwzx vbnm plkj hgfd wert. Zxcq vbtr mnpl kjhg fdsa qwer.",
+    }
+    for text in strange.values():
+        (pos, lang, confidence), = c.passages(text)
+        assert (pos, lang) == (1, "und") and confidence < 0.1
+    # A language that loses its dictionary is no longer found, and not taken for another one.
+    kept = Compressors({k: v for k, v in dic.items() if k != "pl"})
+    texts = [r.text for r in docs.where("lang = 'pl' AND text IS NOT NULL").collect()]
+    sure = [t for t in texts if [x for _, x, _ in c.passages(t)] == ["pl"]]
+    assert len(sure) > 10 and sum([x for _, x, _ in kept.passages(t)] == ["und"] for t in sure) / len(sure) > 0.95
+    out = wrong_labels(spark.createDataFrame([(1, strange["fi"], None), (2, strange["none"], "en")], "doc_id long, text string, lang string").unionByName(docs.select("doc_id", "text", "lang").where("doc_id > 2")))
+    assert out.where("doc_id <= 2").count() == 0
+    rows = [(p, x) for p, x, _ in c.passages("Our team likes to work together and is looking for new colleagues. " + strange["el"].replace("Μετά", "\n Μετά"))]
+    assert rows[0] == (1, "en")
+
+
 def test_held_out_labels(spark):
     """Most labels are right, so detected languages must agree with most of them, whatever rows were sampled."""
     docs = spark.read.parquet(D).where("doc_id % 2 = 0")
