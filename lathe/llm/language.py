@@ -13,6 +13,7 @@ none does, as with a language that has no dictionary, is undetermined.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -61,12 +62,13 @@ def label_code(label: Column | str) -> Column:
 
 
 #: A break with blanks on both sides stands within a line.
-_STRAY = regex.compile(r"(?<=[ \u00a0])[\r\n\u2028\u2029\x0b\x0c\x85]+(?=[ \u00a0])").sub
-_LINES = regex.compile(r"[\r\n\u2028\u2029\x0b\x0c\x85]+").split
-_ENDS = regex.compile(r"(?<=[.!?…]['\"”’»)]*)\s+(?=[^\s])|(?<=[。！？])").split
-_FULL = regex.compile(r"[.!?…。！？]['\"”’»)\]]*$").search
+_STRAY = re.compile("(?<=[ \u00a0])[\r\n\u2028\u2029\x0b\x0c\x85]+(?=[ \u00a0])").sub
+_LINES = re.compile("[\r\n\u2028\u2029\x0b\x0c\x85]+").split
+_ENDS = re.compile("[.!?…]['\"”’»)]*(\\s+)(?=\\S)|(?<=[。！？])(?=.)").finditer
+_FULL = re.compile("[.!?…。！？]['\"”’»)\\]]*$").search
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]").findall
 _WORDS = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*").findall
+_ASCII_WORDS = re.compile(r"[A-Za-z][A-Za-z'-]*").findall
 _DIGITS, _HIDDEN = regex.compile(r"\p{N}+").sub, regex.compile(r"\p{Cf}+").sub
 _INNER = regex.compile(r"\p{L}[.!?…。！？]").search
 _LONG = regex.compile(r"(?<![\p{L}./:@-])\p{L}{2,}(?![./:@]\p{L})").findall
@@ -77,7 +79,12 @@ def sentences(text: str) -> list[tuple[str, bool]]:
     """(sentence, full): pieces in order of writing; ``full`` ones are real sentences."""
     out = []
     for line in _LINES(_STRAY(" ", text)):
-        for s in _ENDS(line):
+        at, pieces = 0, []
+        for m in _ENDS(line):
+            first, last = m.span(1) if m[1] else m.span()
+            pieces.append(line[at:first])
+            at = last
+        for s in (*pieces, line[at:]):
             s = s.strip(_AROUND)
             if s:
                 out.append((s, is_sentence(s)))
@@ -88,7 +95,7 @@ def is_sentence(s: str) -> bool:
     """Ends like a sentence and has at least four words, or eight signs of a script without blanks."""
     if not _FULL(s):
         return False
-    return len(_WORDS(s)) >= 4 or (not s.isascii() and len(_UNSPACED(s)) >= 8)
+    return len(_ASCII_WORDS(s)) >= 4 if s.isascii() else len(_WORDS(s)) >= 4 or len(_UNSPACED(s)) >= 8
 
 
 def plain(s: str) -> bytes:
