@@ -16,7 +16,7 @@ SKIPPED = frozenset("script style head title noscript template".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure section article header footer hr".split())
 LINES = frozenset("div tr dt dd li figcaption address".split())
 _REFERENCE = re.compile(r"&(#[xX]?[0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{1,9});")
-_GONE = dict.fromkeys(map(ord, "\u00ad\u200b"))
+_GONE = dict.fromkeys(map(ord, "\u00ad\u200b\x00\x01"))
 
 
 def decode(text: str) -> str:
@@ -35,54 +35,55 @@ def decode(text: str) -> str:
     return _REFERENCE.sub(one, text).translate(_GONE)
 
 
-class _Reader(HTMLParser):
-    """Collects text; ``gap`` is the number of line ends due before the next word."""
+class _Block:
+    """An element with its texts and elements in order."""
+
+    __slots__ = ("kids", "tag")
+
+    def __init__(self, tag: str):
+        self.tag = tag
+        self.kids: list = []
+
+
+#: Elements that have no end, deepest nesting that is kept apart, signs that stand for a line end and for a blank to keep.
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_DEEPEST = 150
+_END, _KEPT = "\x00", "\x01"
+#: Open elements that the start of another one ends, up to the elements that hold them.
+_ENDS_OPEN = {"li": ("li", "ul ol"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr", "table"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "p": ("p", "li td th div blockquote")}
+
+
+class _Tree(HTMLParser):
+    """Markup as a tree of blocks; missing ends are supplied, and ends without a start ignored."""
 
     def __init__(self):
         super().__init__(convert_charrefs=False)
-        self.out: list[str] = []
-        self.gap, self.blank, self.skip, self.lists, self.marker, self.cell = 0, False, None, [], "", False
+        self.root = _Block("")
+        self.open = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            return
-        if tag in SKIPPED:
-            self.skip = tag
-        elif tag == "br":
-            self.gap = min(self.gap + 1, 2)
-        elif tag in ("ul", "ol"):
-            self._break(1 if self.lists else 2)
-            self.lists.append(0 if tag == "ol" else None)
-        elif tag == "li":
-            self._break(1)
-            n = self.lists[-1] if self.lists else None
-            if n is not None:
-                self.lists[-1] = n = n + 1
-            self.marker = "  " * max(len(self.lists) - 1, 0) + (f"{n}. " if n else "• ")
-        elif tag in ("td", "th"):
-            self.cell = True
-        else:
-            self._edge(tag)
+        ended, held = _ENDS_OPEN.get(tag, ("p", "li td th div blockquote") if tag in PARAGRAPHS or tag in LINES else ("", ""))
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in ended.split():
+                del self.open[i:]
+                break
+            if self.open[i].tag in held.split():
+                break
+        one = _Block(tag)
+        self.open[-1].kids.append(one)
+        if tag not in _VOID and len(self.open) < _DEEPEST:
+            self.open.append(one)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if self.open[-1].tag == tag and tag not in _VOID:
+            self.open.pop()
 
     def handle_endtag(self, tag):
-        if self.skip:
-            self.skip = None if tag == self.skip else self.skip
-            return
-        if tag in ("ul", "ol") and self.lists:
-            self.lists.pop()
-            self._break(1 if self.lists else 2)
-        else:
-            self._edge(tag)
-
-    def _edge(self, tag):
-        if tag in PARAGRAPHS:
-            self._break(2)
-        elif tag in LINES:
-            self._break(1)
-
-    def _break(self, n):
-        self.gap = max(self.gap, n)
-        self.cell = False
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                del self.open[i:]
+                return
 
     def handle_entityref(self, name):
         self.handle_data(f"&{name};")
@@ -91,34 +92,114 @@ class _Reader(HTMLParser):
         self.handle_data(f"&#{name};")
 
     def handle_data(self, data):
-        if self.skip:
-            return
-        text = decode(data)
-        if not text.strip():
-            self.blank = self.blank or bool(text)
+        self.open[-1].kids.append(data)
+
+
+class _Page:
+    """Lines of a tree, each with the number of line ends before it."""
+
+    def __init__(self, depth: int = 0, kept: bool = False):
+        self.lines: list[tuple[int, str]] = []
+        self.run: list[str] = []
+        self.due, self.depth, self.kept = 0, depth, kept
+
+    def close_run(self) -> None:
+        """Lay what was gathered on a line: blanks run together, and a run without words is a gap if it has any sign."""
+        whole, self.run = "".join(self.run), []
+        parts = [" ".join(x.split()) for x in whole.split(_END)]
+        said = [i for i, x in enumerate(parts) if x]
+        if not said:
+            self.due = 2 if "\u00a0" in whole else min(self.due + len(parts) - 1, 2)
             return
-        lead = self.blank or text[0].isspace()
-        if self.gap or not self.out:
-            self.out.append("\n" * self.gap if self.out else "")
-        elif self.cell:
-            self.out.append(" | ")
-        elif lead:
-            self.out.append(" ")
-        self.out.append(self.marker + " ".join(text.split()))
-        self.gap, self.marker, self.cell, self.blank = 0, "", False, text[-1].isspace()
+        for i in range(said[0], said[-1] + 1):
+            if parts[i]:
+                before = i - max((j for j in said if j < i), default=i)
+                self.lines.append((min(before, 2) if before else min(max(self.due, said[0] and self.due + said[0]), 2), parts[i]))
+        self.due = min(len(parts) - 1 - said[-1], 2)
+
+    def gap(self, n: int) -> None:
+        self.close_run()
+        self.due = max(self.due, n)
+
+    def add(self, block: _Block) -> None:
+        for kid in block.kids:
+            if isinstance(kid, str):
+                text = decode(kid)
+                self.run.append(text.replace("\r\n", "\n").replace("\n", _END).replace(" ", _KEPT) if self.kept else text)
+            elif kid.tag in SKIPPED:
+                continue
+            elif kid.tag == "br":
+                self.run.append(_END)
+            elif kid.tag in ("ul", "ol"):
+                self.items(kid)
+            elif kid.tag == "tr":
+                self.row(kid)
+            else:
+                n = 2 if kid.tag in PARAGRAPHS else 1 if kid.tag in LINES else 0
+                kept, self.kept = self.kept, self.kept or kid.tag == "pre"
+                if n:
+                    self.gap(n)
+                self.add(kid)
+                if n:
+                    self.gap(n)
+                self.kept = kept
+
+    def items(self, block: _Block) -> None:
+        """Items one below the other, whatever blocks they are made of, with bullets or numbers and two blanks a level."""
+        outer = 1 if self.depth else 2
+        self.gap(outer)
+        number = 0
+        for kid in block.kids:
+            if isinstance(kid, _Block) and kid.tag == "li":
+                number += 1
+                inner = _Page(self.depth + 1, self.kept)
+                inner.add(kid)
+                inner.close_run()
+                mark = "  " * self.depth + (f"{number}. " if block.tag == "ol" else "• ")
+                for i, (_, line) in enumerate(inner.lines):
+                    self.lines.append((1 if self.lines and i else max(self.due, 1), line if i else mark + line.lstrip()))
+                    self.due = 1
+            else:
+                self.add(_holding(kid))
+                self.gap(1)
+        self.gap(outer)
+
+    def row(self, block: _Block) -> None:
+        cells = []
+        for kid in block.kids:
+            one = _Page(self.depth, self.kept)
+            one.add(kid if isinstance(kid, _Block) and kid.tag in ("td", "th") else _holding(kid))
+            one.close_run()
+            cells.append(" ".join(line for _, line in one.lines))
+        self.gap(1)
+        self.run.append(" | ".join(c for c in cells if c))
+        self.gap(1)
+
+
+def _holding(kid) -> _Block:
+    one = _Block("")
+    one.kids.append(kid)
+    return one
 
 
 def to_text(markup: str | None, escaped: bool = False) -> str | None:
-    """Readable text of markup: paragraphs apart, items with bullets or numbers, cells apart; null if none remains."""
+    """Readable text of markup: paragraphs apart, items with bullets or numbers, cells apart; null if none remains.
+
+    Line ends and blanks of preformatted text stay. Markup that is broken keeps its words.
+    """
     if not markup:
         return None
-    r = _Reader()
+    tree = _Tree()
     try:
-        r.feed(decode(markup) if escaped else markup)
-        r.close()
+        tree.feed(decode(markup) if escaped else markup)
+        tree.close()
     except AssertionError:  # markup that the parser gives up on stays as it is
         return markup.strip() or None
-    return "".join(r.out).strip() or None
+    page = _Page()
+    page.add(tree.root)
+    page.close_run()
+    text = "".join("\n" * (n if i else 0) + line for i, (n, line) in enumerate(page.lines))
+    return "\n".join(x.rstrip() for x in text.replace(_KEPT, " ").split("\n")).strip() or None
 
 
 def html_to_text(c: Column | str, escaped: bool = False) -> Column:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lathe.session import cut
+from lathe.session import Rewritten, cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -61,17 +61,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Alternates large and small stars, each a shuffled minimum and join, until the
     edges stand still; rounds grow as the logarithm of the longest path. Few
     edges, by count, are joined in one task. Loops and null ends are ignored,
-    repeated edges count once; without edges the result is empty. Lineage is cut
-    each round with a reliable checkpoint.
+    repeated edges count once; without edges the result is empty. Each round is a
+    table in the shared folder, so lineage and estimates never grow.
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     e = cut(e)
     if e.limit(few + 1).count() <= few:
         return _joined_at_once(e)
+    rounds = Rewritten(e)
     said = F.struct(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_000_007).alias("h"))
     before = None
     for _ in range(most):
-        e = cut(_small_star(_large_star(e)))
+        e = rounds.write(_small_star(_large_star(rounds.df)))
         now = tuple(e.agg(said.alias("s")).first().s)
         if now == before:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -37,7 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
     local session without that setting gets a temporary one.
     """
-    spark = df.sparkSession
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
@@ -46,7 +52,32 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="lathe-checkpoint-")
         sc.setCheckpointDir(named)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+class Rewritten:
+    """A table that a loop writes anew each round, in the shared folder of the checkpoints.
+
+    A checkpoint keeps the size that the plan was estimated to have, and joins
+    multiply such estimates, so in a loop they grow beyond all measure; a table
+    that is read back has the size of its files. The round before is removed
+    once the next one is written.
+    """
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.folder, self.round, self.df = f"{_checkpoint_dir(self.spark)}/rounds-{uuid.uuid4().hex}", 0, df
+        self.write(df)
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.round}"
+        df.write.mode("overwrite").parquet(path)
+        self.df = self.spark.read.schema(df.schema).parquet(path)
+        if self.round:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.round - 1}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
+        self.round += 1
+        return self.df
 
 
 def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

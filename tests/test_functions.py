@@ -14,10 +14,10 @@ def one(spark, expr, **values):
 
 
 def test_text(spark):
-    assert one(spark, text.clean_line("v"), v="  Security\tEngineer,\n Cloud ") == "Security Engineer, Cloud"
-    assert one(spark, text.clean_line("v"), v=" \n") is None
-    assert one(spark, text.clean_block("v"), v="\n  First line  \r\n\r\nSecond   \n") == "First line\n\nSecond"
-    assert one(spark, text.search_key("v"), v="MÜNCHEN, Deutschland (Rust/Go)") == "münchen deutschland rust go"
+    assert one(spark, text.clean_line("v"), v="\u2003Baker \u00a0 and\v miller\r\n") == "Baker and miller"
+    assert one(spark, text.clean_line("v"), v="\t\u200a ") is None
+    assert one(spark, text.clean_block("v"), v="\r\n\r\nbread  \rsalt\t\n\n\nwater \n ") == "bread\nsalt\n\n\nwater"
+    assert one(spark, text.search_key("v"), v="Œuf (ÉTÉ): 3×4_b/ßa") == "œuf été 3 4 b ßa"
     assert one(spark, text.search_key("v"), v="--") == ""
     assert one(spark, text.has_terms(text.search_document("v"), "sen eng"), v="Senior  Engineer") is True
     assert one(spark, text.has_terms(text.search_document("v"), "ngin"), v="Senior  Engineer") is False
@@ -73,6 +73,15 @@ def test_html(spark):
     assert t("<p>One</p><p>Two<br>Three</p>") == "One\n\nTwo\nThree"
     assert t("<ul><li>a</li><li>b</li></ul>after") == "• a\n• b\n\nafter"
     assert t("<ol><li>a<li>b</ol>") == "1. a\n2. b"
+    assert t("<ul><li><p>a</p></li><li><p>b</p><p>c</p></li></ul>") == "• a\n• b\nc"
+    assert t("<ol><li>x<ul><li>y<ol><li>z</li></ol></li></ul></li><li>w</li></ol><p>v") == "1. x\n  • y\n    1. z\n2. w\n\nv"
+    assert t("<pre>if x:\n    y()\n</pre>done") == "if x:\n    y()\n\ndone"
+    assert t("salt<br><br><br>bread<br/>water") == "salt\n\nbread\nwater"
+    assert t("<div>oil</div><div>\u00a0</div><div>figs</div><div><br/></div><div>rye") == "oil\n\nfigs\n\nrye"
+    assert t("5 < 7 & <p>so</div></p><b>un<i>even") == "5 < 7 &\n\nso\n\nuneven"
+    assert t("a<span> b</span>c <i>d</i>") == "a bc d"
+    assert t("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep" and t("<head><title>t</title></head>x") == "x"
+    assert t("<table><tr><td><p>a</p><p>b</p><td>c<tr><td>d</table>") == "a b | c\nd"
     assert t("<script>x</script><style>y</style>z &amp; &lt;w&gt; &nosuch; &amp") == "z & <w> &nosuch; &amp"
     assert t("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>") == "a | b\nc"
     assert t("&lt;p&gt;Hi&lt;/p&gt;", escaped=True) == "Hi"

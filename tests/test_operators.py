@@ -118,3 +118,42 @@ def test_group_refuses_two_records_of_a_source(spark):
     R = spark.createDataFrame([("a1", "s1", T0), ("a2", "s1", T0), ("b", "s2", T0)], "job_id string, source string, first_seen_at timestamp")
     L = spark.createDataFrame([("k1", "a1", "b", True), ("k2", "a2", "b", True)], "key string, a string, b string, accepted boolean")
     assert dict(rows(identity.groups(R, L))) == {"a1": "a1", "b": "a1", "a2": "a2"}
+
+
+def test_groups_by_rounds_and_in_one_task(spark):
+    """Components of any size give the same groups, whichever way they are joined."""
+    import random
+    from datetime import datetime, timedelta
+
+    r = random.Random(4)
+    for n, m, sources in ((60, 90, 6), (40, 60, 3)):
+        recs = spark.createDataFrame([(f"j{i:03}", f"s{r.randrange(sources)}", datetime(2024, 1, 1) + timedelta(days=r.randrange(20))) for i in range(n)], "job_id string, source string, first_seen_at timestamp")
+        links = spark.createDataFrame([(f"k{r.randrange(50)}", f"j{r.randrange(n):03}", f"j{r.randrange(n):03}", r.random() < 0.9) for _ in range(m)], "key string, a string, b string, accepted boolean").where("a <> b")
+        one, wide = rows(identity.groups(recs, links)), rows(identity.groups(recs, links, most=1))
+        assert one == wide and len({f for _, f in one}) < n
+
+
+def test_skewed_join(spark):
+    """A key with most of the rows, rare keys, and keys without a partner."""
+    left = spark.createDataFrame([("hot", i) for i in range(5000)] + [(f"k{i}", i) for i in range(50)] + [("lost", 1), (None, 2)], "k string, v int")
+    right = left.where("k <> 'lost'").groupBy("k").count().withColumnRenamed("count", "n")
+    assert rows(joins.skewed(left, right, ["k"], "n").select("k", "v")) == rows(left.where("k IS NOT NULL AND k <> 'lost'"))
+    assert joins.skewed(left, right, ["k"], "n", "left").count() == left.count()
+    assert joins.skewed(left.limit(0), right.limit(0), ["k"], "n").count() == 0
+
+
+def test_as_of_across_slices(spark):
+    """Right rows of earlier days are carried over days without any, also for a key with a third of all rows."""
+    import random
+    from datetime import datetime, timedelta
+
+    r = random.Random(6)
+    t = lambda: datetime(2024, 1, 1) + timedelta(minutes=r.randrange(60 * 24 * 40))
+    left = [(i, "hot" if i % 3 == 0 else f"k{r.randrange(9)}", t()) for i in range(600)] + [(600, "hot", None), (601, None, t())]
+    right = [("hot" if i % 3 == 0 else f"k{r.randrange(9)}", t(), i) for i in range(150)] + [(None, datetime(2023, 1, 1), -1)]
+    got = {x.i: x.v for x in joins.as_of(spark.createDataFrame(left, "i int, k string, at timestamp"), spark.createDataFrame(right, "k string, rat timestamp, v int"), ["k"], "at", "rat", ["v"]).collect()}
+    want = {}
+    for i, k, at in left:
+        before = [(b, v) for x, b, v in right if x == k and at is not None and b <= at]
+        want[i] = max(before)[1] if before else None
+    assert got == want
