@@ -71,20 +71,21 @@ def salted(left: DataFrame, right: DataFrame, keys: list[str], salts: int = 16,
     return l.join(r, [*keys, "__salt"], how).drop("__salt")
 
 
-def skewed(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+def skewed(left: DataFrame, right: DataFrame, keys: list[str], n: str, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """Equality join with a side of one row a key, in which no key is one task's work.
 
-    ``n`` is the column of ``right`` with the number of left rows of a key. Keys
-    with more than ``HOT_SHARE`` of them, 64 at most, are joined by broadcast where
-    their rows lie; all others sort and merge. ``how`` is inner or left. The
-    right side is written once; a left side with hot keys is read twice, so it
-    should be a table or a checkpoint.
+    ``n`` is the column of ``right``, or of ``counts`` (keys, n), with the number
+    of left rows of a key. Keys with more than ``HOT_SHARE`` of them, 64 at most,
+    are joined by broadcast where their rows lie; all others sort and merge.
+    ``how`` is inner or left. The side with the numbers is written once; with hot
+    keys both sides are read twice, so they should be tables or checkpoints.
     """
-    right = cut(right)
-    total, top = right.agg(F.sum(n), F.max(n)).first()
+    if counts is None:
+        right = counts = cut(right)
+    total, top = counts.agg(F.sum(n), F.max(n)).first()
     least = max((total or 0) * HOT_SHARE, LEAST_HOT)
     if not total or top <= least:
         return left.join(growing(right), keys, how)
-    hot = right.where(F.col(n) > least)
-    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(growing(right.where(F.col(n) <= least)), keys, how)
-    return left.join(F.broadcast(hot), keys).unionByName(cold)  # at most 1 / HOT_SHARE rows are broadcast
+    hot = F.broadcast(counts.where(F.col(n) > least).select(*keys))  # at most 1 / HOT_SHARE rows
+    cold = left.join(hot, keys, "left_anti").join(growing(right.join(hot, keys, "left_anti")), keys, how)
+    return left.join(F.broadcast(right.join(hot, keys, "left_semi")), keys).unionByName(cold)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.functions.places import ARRANGEMENT, AROUND, Gazetteer, gazetteer, token, tokens
+from lathe.operators.joins import skewed
 from lathe.session import cut, growing, spread, table
 
 # Delimiters by kind, in the order in which they are tried at a place.
@@ -164,6 +165,8 @@ class Parser:
 
     def _joined(self, pieces: list[tuple[str, bool, str]]) -> list[str]:
         """Values of the pieces: after an unquoted comma only a further place starts a new one."""
+        if all(delimiter != "comma" for _, _, delimiter in pieces):  # nothing can belong to the value before it
+            return [v for v in (p if q else p.strip(_BLANK) for p, q, _ in pieces) if v.strip(_BLANK)]
         out: list[tuple[str, bool]] = []
         end_of_last = "blank"
         for piece, was_quoted, delimiter in pieces:
@@ -224,8 +227,10 @@ def _candidates(fields: DataFrame, names) -> DataFrame:
                         seen[key][2] = len(kinds) + quoted
                         continue
                     over = DECLARE_BITS * (len(kinds) + quoted) + DELIMITER_BITS * (len(values) - 1)
-                    seen[key] = [text, "+".join(kinds) + ("+quotes" if quoted else ""), len(kinds) + quoted, over, values, [p.composed_bits(v) for v in values]]
+                    seen[key] = [text, "+".join(kinds) + ("+quotes" if quoted else ""), len(kinds) + quoted, over, values, None]
                     held += 2 * len(text)
+                for row in seen.values():  # a field that all dialects read alike has nothing to weigh
+                    row[5] = [p.composed_bits(v) if len(seen) > 1 else 0.0 for v in row[4]]
                 rows += seen.values()
                 if held > BATCH_CHARS:
                     yield pd.DataFrame(rows, columns=columns)
@@ -249,22 +254,24 @@ def split_values(df: DataFrame, key: str, field: str, places: DataFrame, countri
     names = spark.sparkContext.broadcast(gazetteer(places, countries))  # bounded by gazetteer()
     rows = df.select(F.col(key).alias("__key"), F.col(field).alias("field")).where(F.trim(F.regexp_replace("field", r"[\s\u00a0\u200b\ufeff]+", " ")) != "")
     # Counting distinct fields first keeps a field with a third of all rows one row from here on.
-    fields = rows.groupBy("field").agg(F.count(F.lit(1)).alias("rows"))
+    fields = cut(rows.groupBy("field").agg(F.count(F.lit(1)).alias("rows")))
     # The parses are the work: the few bytes of the distinct fields are spread over all cores first.
     parsed = cut(_candidates(spread(fields.select("field"), "field"), names))
     each = parsed.select("field", "dialect", "overhead", F.size("vals").alias("n"), F.posexplode(F.arrays_zip("vals", "bits")).alias("i", "v"))
     each = each.withColumn("code", F.lower(F.trim("v.vals")))
     # How often the corpus has a value: in the parse by all delimiters, which names each field's parts.
     widest = parsed.groupBy("field").agg(F.max_by("vals", F.struct("signs", F.size("vals"), "dialect")).alias("vals")).join(growing(fields), "field")
-    book = widest.select(F.explode("vals").alias("v"), "rows").groupBy(F.lower(F.trim("v")).alias("code")).agg(F.sum("rows").alias("seen"))
+    book = widest.select(F.explode("vals").alias("v"), "rows").groupBy(F.lower(F.trim("v")).alias("code")).agg(F.sum("rows").alias("seen"), F.count(F.lit(1)).alias("parses"))
+    book = cut(book)
     total = book.agg(F.sum("seen")).first()[0] or 1
-    coded = each.join(growing(book), "code", "left")
+    # A value as frequent as "remote" is in a third of all parses, a field of it in a third of all rows.
+    coded = skewed(each, book, ["code"], "parses", "left")
     # A code's entry in the book is paid once by all that use it, so a value seen once gains nothing.
     bits = F.least(F.col("v.bits"), F.coalesce(F.log2(F.lit(float(total)) / F.col("seen")) + 1 + F.col("v.bits") / F.col("seen"), F.lit(1e9)))
     cost = coded.groupBy("field", "dialect").agg((F.sum(bits) + F.first("overhead")).alias("cost"), F.first("n").alias("n"))
     best = cost.groupBy("field").agg(F.min_by("dialect", F.struct(F.round("cost", 6), -F.col("n"), "dialect")).alias("dialect"))
     chosen = parsed.join(growing(best), ["field", "dialect"]).select("field", "vals", F.size("vals").alias("n"))
-    out = rows.join(growing(chosen), "field").select(F.col("__key").alias(key), F.posexplode("vals").alias("i", "val"), "n")
+    out = skewed(rows, chosen, ["field"], "rows", counts=fields).select(F.col("__key").alias(key), F.posexplode("vals").alias("i", "val"), "n")
     return out.select(key, (F.col("i") + 1).cast("long").alias("pos"), "val", "n")
 
 
