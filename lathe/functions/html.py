@@ -272,13 +272,23 @@ def sitemap_urls(c: Column | str) -> Column:
 
 
 def disallowed(robots: Column | str) -> Column:
-    """array<string>: path beginnings that a robots file closes to all agents; an asterisk at the end means nothing."""
+    """array<string>: path beginnings that a robots file closes to all agents; asterisks at the end mean nothing.
+
+    Several agents may share a group; comments, unknown fields and blank rules count for nothing.
+    """
     c = F.col(robots) if isinstance(robots, str) else robots
-    groups = F.regexp_extract_all(F.concat(F.lit("\n"), c), F.lit(r"(?is)\n[ \t]*user-agent:[ \t]*\*[ \t\r]*((?:\n(?!\s*user-agent:)[^\n]*)*)"), 1)
-    paths = F.regexp_extract_all(F.array_join(groups, "\n"), F.lit(r"(?im)^\s*disallow:[ \t]*([^\s#]+)"), 1)
+    text = F.concat(F.regexp_replace(F.regexp_replace(c, r"#[^\n\r]*", ""), r"\s*[\r\n]+\s*", "\n"), F.lit("\n"))
+    groups = F.regexp_extract_all(text, F.lit(r"(?im)((?:^user-agent[ \t]*:[^\n]*\n)+(?:^(?!user-agent[ \t]*:)[^\n]*\n)*)"), 1)
+    ours = F.filter(groups, lambda g: g.rlike(r"(?im)^user-agent[ \t]*:[ \t]*\*[ \t]*$"))
+    paths = F.regexp_extract_all(F.array_join(ours, "\n"), F.lit(r"(?im)^disallow[ \t]*:[ \t]*(\S+)"), 1)
     return F.filter(F.transform(paths, lambda p: F.regexp_replace(p, r"\*+$", "")), lambda p: p != "")
 
 
+def robots_sitemaps(robots: Column | str) -> Column:
+    """array<string>: sitemaps that a robots file names."""
+    return F.regexp_extract_all(robots, F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), 1)
+
+
 def allowed(path: Column | str, closed: Column | str) -> Column:
     p = F.col(path) if isinstance(path, str) else path
     return ~F.exists(closed, lambda x: p.startswith(x))

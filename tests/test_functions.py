@@ -93,6 +93,8 @@ def test_html(spark):
     assert not s.is_index and s.urls == ["https://x.io/?a=1&b=2"]
     robots = "User-agent: bot\nDisallow: /all\n\nUser-agent: *\nAllow: /a\nDisallow: /private*\nDisallow:\n"
     assert one(spark, html.disallowed("v"), v=robots) == ["/private"]
+    shared = "Sitemap: https://x.io/s.xml\r\nuser-agent : *\r\nUser-Agent: crumb\r\nDisallow: /oven # hot\r\nCrawl-delay: 3\r\n\r\nUser-agent: crumb\r\nDisallow: /salt"
+    assert one(spark, html.disallowed("v"), v=shared) == ["/oven"] and one(spark, html.robots_sitemaps("v"), v=shared) == ["https://x.io/s.xml"]
     assert one(spark, html.allowed(F.lit("/private/x"), html.disallowed("v")), v=robots) is False
 
 
