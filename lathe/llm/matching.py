@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathe.functions.places import AROUND, ARRANGEMENT, Gazetteer, gazetteer, shortened, slips, slips_allowed, tokens
+from lathe.operators.joins import skewed
 from lathe.operators.splitting import located, split_values
 from lathe.session import bounded_broadcast, cut, growing, spread, table
 
@@ -207,7 +208,8 @@ def located_values(greenhouse: DataFrame, records: DataFrame, places: DataFrame,
 def matches(greenhouse: DataFrame, records: DataFrame, places: DataFrame, countries: DataFrame) -> DataFrame:
     """(tbl, row_id, pos, val, ref, score) of every value."""
     values = cut(located_values(greenhouse, records, places, countries))
-    return values.join(growing(mapped(values, places, countries)), "val")
+    counts = cut(values.groupBy("val").agg(F.count(F.lit(1)).alias("n")))
+    return skewed(values, mapped(counts, places, countries), ["val"], "n", counts=counts)
 
 
 def _tables(spark: SparkSession, d: str) -> list[DataFrame]:
