@@ -117,6 +117,11 @@ def _by_rounds(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return member.select("job_id", "grp").join(growing(founders), "grp").select("job_id", "founder")
 
 
+def reassigned(labels: DataFrame, key: str, was: str, now: str) -> DataFrame:
+    """(key, now) of the records whose label changes; null is a label of its own."""
+    return labels.where(~F.col(was).eqNullSafe(F.col(now))).select(key, now)
+
+
 def look_alikes(records: DataFrame, grouped: DataFrame) -> DataFrame:
     """(company_key, title_key, n_jobs): equal names in several sources and several groups."""
     df = records.join(grouped, "job_id").select("job_id", "source", "founder", search_key("company").alias("company_key"), search_key("title").alias("title_key"))

@@ -98,6 +98,17 @@ def touched(stored: DataFrame, unmodified: DataFrame, keys: list[str], at: str,
     return df.withColumn(seen, F.when(F.col("status") == "open", F.greatest(seen, "__at")).otherwise(F.col(seen))).drop("__n", "__at")
 
 
+def observed(stored: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Stored rows with the ``action`` of an observation (key, found) of the posting itself.
+
+    Only open and closed are definite; what was not looked at, or answered
+    neither, is unknown and changes nothing.
+    """
+    f = F.col("found")
+    action = F.when((f == "open") & (F.col("status") == "closed"), "reopened").when((f == "closed") & (F.col("status") == "open"), "closed").when(f.isin("open", "closed"), "confirmed").otherwise("unknown")
+    return stored.join(seen, key, "left").withColumn("action", action)
+
+
 def replaced_evidence(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """(key, evidence): a record that came again has just its new evidence, each once; all others keep theirs."""
     again = incoming.select(key).distinct()

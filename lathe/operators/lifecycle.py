@@ -87,3 +87,8 @@ def merge_three_way(base: DataFrame, local: DataFrame, remote: DataFrame, keys:
     moved_l, moved_r = F.col("hl").isNotNull() & ~F.col("vl").eqNullSafe(F.col("vb")), F.col("hr").isNotNull() & ~F.col("vr").eqNullSafe(F.col("vb"))
     side = F.when(moved_l & ~moved_r, "local").when(moved_r & ~moved_l, "remote").when(F.col("hr").isNull(), "local").when(F.col("hl").isNull(), "remote").when(F.col("al") > F.col("ar"), "local").otherwise("remote")
     return j.withColumn("side", side).select(*keys, F.when(F.col("side") == "local", F.col("vl")).otherwise(F.col("vr")).alias("value"), "side")
+
+
+def rotated(items: list, start: int, most: int) -> list:
+    """At most ``most`` items of a short list from ``start`` on, round its end; each once."""
+    return [items[(start + i) % len(items)] for i in range(min(most, len(items)))] if items else []

@@ -299,12 +299,13 @@ def identity_groups(spark, d):
 
 @query(
     "s302_look_alikes",
-    f"""WITH r AS (SELECT job_id, opportunity_id, concat_ws(':', source.kind, source.instance) AS source, {key_sql("company")} AS company_key, {key_sql("title")} AS title_key FROM job_records WHERE opportunity_id IS NOT NULL)
-    SELECT company_key, title_key, count(*) AS n_jobs FROM r WHERE company_key <> '' AND title_key <> '' GROUP BY 1, 2 HAVING count(DISTINCT source) > 1 AND count(DISTINCT opportunity_id) > 1""",
+    f"""WITH r AS (SELECT row_id, id, board, {key_sql("company")} AS company_key, {key_sql("title")} AS title_key FROM ashby_jobs WHERE id IS NOT NULL)
+    SELECT company_key, title_key, count(*) AS n_jobs FROM r WHERE company_key <> '' AND title_key <> '' GROUP BY 1, 2 HAVING count(DISTINCT board) > 1 AND count(DISTINCT id) > 1""",
 )
 def look_alikes(spark, d):
-    j = _jobs(spark, d).where("opportunity_id IS NOT NULL").select(F.col("row_id").alias("job_id"), F.concat_ws(":", "source.kind", "source.instance").alias("source"), "company", "title", "opportunity_id")
-    return identity.look_alikes(j.drop("opportunity_id"), j.select("job_id", F.col("opportunity_id").alias("founder")))
+    """Equal company and title on several boards under several ids."""
+    j = table(spark, d, "ashby_jobs").where("id IS NOT NULL").select(F.col("row_id").alias("job_id"), F.col("board").alias("source"), "company", "title", "id")
+    return identity.look_alikes(j.drop("id"), j.select("job_id", F.col("id").alias("founder")))
 
 
 @query("s073_semi_join", "SELECT row_id FROM job_records r WHERE EXISTS (SELECT 1 FROM stored_jobs s WHERE s.job_id = r.job_id)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lathe.operators import instants as op_instants
 from lathe.operators import quantities, snapshots, splitting
-from lathe.plans import core_sql, general, ledger, places, sources
+from lathe.plans import core_sql, general, ledger, people, places, sources
 from lathe.session import table
 
 
@@ -29,5 +29,6 @@ QUERIES = {
     **ledger.QUERIES,
     **places.QUERIES,
     **sources.QUERIES,
+    **people.QUERIES,
 }
-SQL = {"p4_found": core_sql.P4_FOUND, **general.SQL, **ledger.SQL, **places.SQL, **sources.SQL}
+SQL = {"p4_found": core_sql.P4_FOUND, **general.SQL, **ledger.SQL, **places.SQL, **sources.SQL, **people.SQL}

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A dimension is broadcast only after its rows were counted and found under this bound.
 BROADCAST_ROWS = 200_000
+#: And its values, written out, under this one.
+BROADCAST_BYTES = 64_000_000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -> SparkSession:
@@ -80,9 +82,11 @@ class Rewritten:
         return self.df
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only if the side is proven small, else leave the join to AQE."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only if the side is proven small, in rows and in bytes of its values, else leave the join to AQE."""
+    head = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("b"))
+    n, total = head.agg(F.count(F.lit(1)), F.sum("b")).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def growing(df: DataFrame) -> DataFrame:

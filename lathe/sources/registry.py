@@ -26,13 +26,18 @@ SOURCES: dict[str, Source] = {"ashby": boards.ashby, "greenhouse": boards.greenh
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a registry file in TOML, each source once; a configuration file, so it is read by the driver."""
-    with open(path, "rb") as f:
-        entries = tomllib.load(f).get("sources", [])
-    names = [c.split()[0] for c in REGISTRY.split(", ")]
-    rows = [tuple(None if e.get(n) is None else str(e[n]) for n in names) for e in entries]
-    if len({r[:2] for r in rows}) < len(rows):
+    entries = read_toml(spark, path, "sources", REGISTRY)
+    if entries.groupBy("kind", "instance").count().where("count > 1").count():
         raise ValueError("a source is in the registry more than once")
-    return spark.createDataFrame(rows, REGISTRY)
+    return entries
+
+
+def read_toml(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """An array of tables of a TOML file, such as fixtures, as rows of a schema of strings; a small file, read by the driver."""
+    with open(path, "rb") as f:
+        entries = tomllib.load(f).get(name, [])
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(None if e.get(c) is None else str(e[c]) for c in columns) for e in entries], schema)
 
 
 def upserted(registry: DataFrame, found: DataFrame) -> DataFrame:
