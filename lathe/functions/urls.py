@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Query parameters, and beginnings of such, that only track where a visitor came from.
-TRACKING = "_ga _gl _hsenc _hsmi dclid fbclid gbraid gclid gh_src hsctatracking igshid li_fat_id mc_cid mc_eid mkt_tok msclkid ref ref_src referer referrer ttclid twclid wbraid yclid".split()
+TRACKING = [
+    "_ga", "_gl", "_hsenc", "_hsmi", "dclid", "fbclid", "gbraid", "gclid", "gh_src", "hsctatracking", "igshid", "li_fat_id", "mc_cid", "mc_eid",
+    "mkt_tok", "msclkid", "ref", "ref_src", "referer", "referrer", "ttclid", "twclid", "wbraid", "yclid",
+]
 TRACKING_PREFIXES = ("utm_", "lever-source", "lever-origin", "lever-via")
 
 
