@@ -10,6 +10,7 @@ uncertain ones are routed for review.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -246,11 +247,17 @@ def _with_predictions(rows: DataFrame) -> DataFrame:
         return rows.withColumns({f"{k}_{t}": F.lit(None).cast(dict(rows.dtypes)[t] if k == "guess" else "double") for t in TARGETS for k in ("guess", "p")})
     some = _own_missing(TARGETS[0]) | _own_missing(TARGETS[1]) | _own_missing(TARGETS[2])
     out = rows.where(some)
-    for t in TARGETS:
+
+    def fitted(t: str):
         # Amounts are written whole unless said otherwise, so those of unstated scale are examples of it, if unsure ones.
         known = rows.withColumn("scale", F.coalesce("scale", F.lit(1.0))) if t == "scale" else rows.where(F.col(f"own_{t}").isNotNull())
-        fitted = fit_unit(known, t) if lacking[t] else None
-        out = predicted(out, t, fitted)
+        return fit_unit(known, t) if lacking[t] else None
+
+    # Each fit is a row of short jobs on a small sample; they share the cores.
+    with ThreadPoolExecutor(len(TARGETS)) as pool:
+        models = dict(zip(TARGETS, pool.map(fitted, TARGETS), strict=True))
+    for t in TARGETS:
+        out = predicted(out, t, models[t])
         for k in ("guess", "p"):
             out = out.withColumn(f"{k}_{t}", F.when(_own_missing(t), F.col(k)))
         out = out.drop("guess", "p")
