@@ -428,6 +428,29 @@ def windowed_counts(spark, d):
     return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_events", "sum_value")
 
 
+@query("stream_live_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n_events, round(sum(value), 2) AS sum_value FROM events GROUP BY 1, 2")
+def live_counts(spark, d):
+    """The windowed counts of the stream of the events' files, with its watermark."""
+    w = ev.drained(ev.windowed_counts(ev.event_stream(spark, d)), "complete")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n_events", "sum_value")
+
+
+@query("stream_live_once", "SELECT DISTINCT event_id, user_id FROM events")
+def live_once(spark, d):
+    """Each event of the stream once, by the state that the watermark keeps."""
+    return ev.drained(ev.deduplicated(ev.event_stream(spark, d)).select("event_id", "user_id"), "append")
+
+
+@query(
+    "stream_live_fold",
+    """SELECT user_id, max(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE -1 END)::INT AS furthest, last(event_type ORDER BY ts, event_id) AS last_type, count(*) AS n_events FROM events GROUP BY user_id""",
+)
+def live_fold(spark, d):
+    """The keyed state of every user after the stream: of a user's rows the last one, which has counted most events."""
+    rows = ev.drained(ev.fold_state(ev.event_stream(spark, d), _RANKS), "update")
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("furthest", "last_type", "n_events"), "n_events").alias("x")).select("user_id", "x.*")
+
+
 @query("s292_changes_after_cursor", "SELECT event_id, user_id FROM events WHERE event_id > (SELECT max(event_id) - 500 FROM events)")
 def after_cursor(spark, d):
     e = table(spark, d, "events")

@@ -31,4 +31,4 @@ QUERIES = {
     **sources.QUERIES,
     **people.QUERIES,
 }
-SQL = {"p4_found": core_sql.P4_FOUND, **general.SQL, **ledger.SQL, **places.SQL, **sources.SQL, **people.SQL}
+SQL = {"p4_found": core_sql.P4_FOUND, "p5_found": core_sql.P5_FOUND, **general.SQL, **ledger.SQL, **places.SQL, **sources.SQL, **people.SQL}

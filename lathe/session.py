@@ -41,11 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
     local session without that setting gets a temporary one.
     """
-    _checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of checkpoints and of tables that loops and streams write."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
@@ -68,7 +69,7 @@ class Rewritten:
 
     def __init__(self, df: DataFrame):
         self.spark = df.sparkSession
-        self.folder, self.round, self.df = f"{_checkpoint_dir(self.spark)}/rounds-{uuid.uuid4().hex}", 0, df
+        self.folder, self.round, self.df = f"{checkpoint_dir(self.spark)}/rounds-{uuid.uuid4().hex}", 0, df
         self.write(df)
 
     def write(self, df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lathe.operators.ledger import applied
 from lathe.operators.lifecycle import plan_scan
-from lathe.session import cut
+from lathe.session import checkpoint_dir, cut
 
 
 def _watched(events: DataFrame, late: str) -> DataFrame:
@@ -59,6 +61,30 @@ def fold_state(events: DataFrame, ranks: dict[str, int]) -> DataFrame:
     )
 
 
+def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
+    """The files of a table as a stream, in the order in which they arrived."""
+    path = f"{folder}/{name}.parquet"
+    if not os.path.isdir(path):  # one file: the folder is watched for it
+        return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def drained(stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream has said once all that was there is read: its last table in complete mode, else all rows of its batches.
+
+    Batches and offsets are written beside the checkpoints; a batch that is run
+    again replaces its own rows.
+    """
+    spark = stream.sparkSession
+    folder = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
+
+
 def batch_fold(events: DataFrame, ranks: dict[str, int]) -> DataFrame:
     """``fold_state`` over a finished table, by one partial aggregation."""
     rank = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col("event_type")]

@@ -61,3 +61,12 @@ def test_fold_keeps_the_greatest_id_of_an_instant(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     ev.fold_state(stream, RANKS).writeStream.format("memory").queryName("g").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert [(r.last_type, r.n_events) for r in spark.table("g").orderBy("n_events").collect()][-1] == ("purchase", 2)
+
+
+def test_drained_streams(spark):
+    """What streams of a table's files say in the end is what the table says."""
+    folder = SF.rsplit("/", 1)[0]
+    table = spark.read.parquet(SF)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(ev.drained(ev.windowed_counts(ev.event_stream(spark, folder)), "complete")) == key(ev.windowed_counts(table))
+    assert ev.drained(ev.deduplicated(ev.event_stream(spark, folder)).select("event_id"), "append").count() == table.select("event_id").distinct().count()
