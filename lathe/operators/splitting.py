@@ -47,6 +47,8 @@ _WORD = re.compile(r"[^\W_]+")
 #: Bits that choose a letter and its slip, and one of the words around names; a name costs the choice among all listed ones.
 SLIP_BITS, WORD_BITS = log2(26) + 1, log2(len(ARRANGEMENT | AROUND))
 _BLANK = " \t\r\n\u00a0\u2007\u2009\u202f\u200b\ufeff"
+_CLOSED, _APART = re.compile(r"\([^()]*\)|\b[nN]/[aA]\b"), re.compile(r"[;|•·,()\r\n\"]|\s[-–—]\s|(?<!\w)or(?!\w)", re.IGNORECASE)
+_JOINTS, _SIGNS = re.compile(r"[,()]|[-–—]"), re.compile(r"[\s,()\-–—]")
 _BLANKS, _OPEN, _QUOTED = re.compile(f"[{_BLANK}]*"), re.compile(f'[{_BLANK}]*"'), re.compile(r'"((?:[^"]|"")*+)"(?!")')
 
 
@@ -77,7 +79,7 @@ class Parser:
 
     def _protected(self, text: str) -> list[tuple[int, int]]:
         """Spans inside which no delimiter counts: brackets, placeholders, listed names."""
-        spans = [m.span() for m in re.finditer(r"\([^()]*\)|\b[nN]/[aA]\b", text)]
+        spans = [m.span() for m in _CLOSED.finditer(text)]
         kept = [(m.start(), m.end(), t) for m in _WORD.finditer(text) if (t := token(m[0])) is not None]
         if not kept:
             return spans
@@ -87,7 +89,7 @@ class Parser:
         segment, k = [], 0
         for i, (s, _, _) in enumerate(kept):
             between = text[kept[i - 1][1] : s] if i else ""
-            if i and re.search(r"[;|•·,()\r\n\"]|\s[-–—]\s|(?<!\w)or(?!\w)", between, re.IGNORECASE):
+            if i and between != " " and _APART.search(between):
                 k += 1
             segment.append(k)
         for a, b, _, _ in self.g.occurrences(toks, near, segment):
@@ -98,8 +100,8 @@ class Parser:
     def _places(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, from, to) of the delimiters outside protected spans, in order."""
         found = [(m.lastgroup, *m.span()) for m in _ANY.finditer(text)]
-        if not found:
-            return []
+        if not found or ("(" not in text and all(k == "comma" for k, _, _ in found)):
+            return found  # only brackets ever hold a comma
         spans, out, i = sorted(self.protected(text)), [], 0
         ends = list(accumulate((b for _, b in spans), max))
         for kind, a, b in found:  # spans that start before, the furthest end of which tells
@@ -200,8 +202,8 @@ class Parser:
         inner = [m for m in _ANY.finditer(value) if m.lastgroup != "comma"]
         spans = self.protected(value) if inner else []
         odd = sum(len(m[0].strip()) or 1 for m in inner if not any(a <= m.start() < b for a, b in spans))
-        joints = len(re.findall(r"[,()]|[-–—]", value))
-        plain = len(re.sub(r"[\s,()\-–—]", "", value)) - covered
+        joints = len(_JOINTS.findall(value))
+        plain = len(_SIGNS.sub("", value)) - covered
         odd += max(places - 1, 0)  # a second place is as odd as a delimiter
         return bits + JOINT_BITS * joints + SIGN_BITS * max(plain, 0) + ODD_BITS * odd
 
