@@ -15,6 +15,7 @@ not crossed but joined by their rarest shingles, which finds the same pairs.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -70,22 +71,19 @@ def shingle_hashes(words: list[str], width: int, known: dict[str, int]) -> np.nd
     return np.unique((out ^ (out >> np.uint64(32))).view(np.int64))
 
 
-def words_digest(worded: DataFrame) -> DataFrame:
-    """(key, same): ``same`` is equal for equal word sequences of (key, words)."""
-    return worded.select("key", F.unhex(F.md5("words")).alias("same"))
-
-
-def shingled(worded: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of (key, words), words parted by single blanks."""
+def shingled(texts: DataFrame, width: int) -> DataFrame:
+    """(id, said, shingles) of (key, text); ``said`` is equal for equal word sequences."""
+    words = F.trim(F.regexp_replace("text", r"[^\p{L}\p{N}]+", " "))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for b in batches:
             if len(known) > 500_000:
                 known.clear()
-            yield pd.DataFrame({"id": b["key"], "shingles": [shingle_hashes(t.split(), width, known) for t in b["words"]]})
+            said = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in b["words"]]
+            yield pd.DataFrame({"id": b["key"], "said": said, "shingles": [shingle_hashes(t.split(), width, known) for t in b["words"]]})
 
-    return worded.mapInPandas(run, "id long, shingles array<long>")
+    return texts.select("key", words.alias("words")).mapInPandas(run, "id long, said binary, shingles array<long>")
 
 
 def forest_keys(sets: DataFrame, final: int, trees: int = TREES) -> DataFrame:
@@ -160,26 +158,29 @@ def groups(df: DataFrame, key: str, text: str, width: int = 5, threshold: float
     alone. Rows with a null key or text are left out. Keys must be unique.
     """
     final = final_depth(threshold, trees, target)
-    words = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
-    worded = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), words.alias("words"))
-    same = cut(words_digest(worded))
+    texts = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text"))
+    same = cut(texts.select("key", F.unhex(F.md5("text")).alias("same")))
     classes = cut(same.groupBy("same").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n")))
     member = cut(skewed(same, classes, ["same"], "n").select("key", "id"))
-    # Only one row of each class goes on, and its text travels rather than its shingles.
-    chosen = worded.join(growing(classes.select(F.col("id").alias("key"))), "key", "left_semi")
-    sets = cut(shingled(chosen, width).where(F.size("shingles") > 0))
+    # Only one row of each class of copies goes on, and its text travels rather than its shingles.
+    chosen = texts.join(growing(classes.select(F.col("id").alias("key"))), "key", "left_semi")
+    all_sets = cut(shingled(chosen, width))
+    said = all_sets.select("id", "said")
+    twins = said.groupBy("said").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    edges = cut(skewed(said, twins, ["said"], "n").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    sets = all_sets.select("id", "shingles").where(F.size("shingles") > 0)
     forest = cut(forest_keys(sets, final, trees))
     bits = trees * (final + STEPS) // 64 * 64
     trie = cut(shared_prefixes(forest))
-    edges = comp = None
+    comp = None
     for depth in range(final + STEPS, final - 1, -STRIDE):
-        trie = cut(active(trie, comp))
+        trie = trie if comp is None else cut(active(trie, comp))
         if depth > final:
             candidates = first_of_bucket(trie, depth - final)
         else:
             candidates = strangers(trie, sets, threshold, most)
         found = cut(verified(candidates, forest, sets, threshold, bits))
-        edges = found if edges is None else edges.unionByName(found)
+        edges = edges.unionByName(found)
         comp = connected_components(edges, "a", "b")
         if trie.isEmpty():
             break
@@ -195,10 +196,8 @@ def shared_prefixes(forest: DataFrame) -> DataFrame:
     return skewed(each, shared, ["key"], "n").select("key", "path", "id", F.col("id").alias("comp"))
 
 
-def active(trie: DataFrame, comp: DataFrame | None) -> DataFrame:
+def active(trie: DataFrame, comp: DataFrame) -> DataFrame:
     """The entries, with their present groups, of prefixes of the final depth that different groups still share."""
-    if comp is None:
-        return trie
     known = comp.select(F.col("node").alias("id"), F.col("component").alias("c"))
     now = cut(trie.drop("comp").join(growing(known), "id", "left").select("key", "path", "id", F.coalesce("c", "id").alias("comp")))
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
