@@ -85,12 +85,12 @@ def zones_in_text(spark, d):
 
 @query(
     "s216_places_in_prose",
-    f"""WITH v AS (SELECT DISTINCT {key_sql("name")} AS k FROM places), t AS (SELECT row_id, ' ' || {key_sql("description_plain")} || ' ' AS t FROM ashby_jobs WHERE description_plain IS NOT NULL)
-    SELECT row_id, k AS place FROM t JOIN v ON contains(t, ' ' || k || ' ') WHERE k <> ''""",
+    f"""WITH v AS (SELECT DISTINCT {key_sql("name")} AS k FROM places), t AS (SELECT doc_id, ' ' || {key_sql("text")} || ' ' AS t FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, k AS place FROM t JOIN v ON contains(t, ' ' || k || ' ') WHERE k <> ''""",
 )
 def places_in_prose(spark, d):
     names = table(spark, d, "places").select(text.search_key("name").alias("place")).distinct()
-    return phrases.phrases_in(table(spark, d, "ashby_jobs"), "row_id", "description_plain", names, "place").select("row_id", "place").distinct()
+    return phrases.phrases_in(table(spark, d, "documents"), "doc_id", "text", names, "place").select("doc_id", "place").distinct()
 
 
 #: Phrases of technologies and trades that titles name.
