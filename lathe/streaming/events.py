@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -64,7 +63,8 @@ def fold_state(events: DataFrame, ranks: dict[str, int]) -> DataFrame:
 def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
     """The files of a table as a stream, in the order in which they arrived."""
     path = f"{folder}/{name}.parquet"
-    if not os.path.isdir(path):  # one file: the folder is watched for it
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not file.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(file).isDirectory():  # one file: the folder is watched for it
         return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
